@@ -37,6 +37,13 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"), byte_tokenizer(), end_id=2)
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.near_dedup import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "exact_copies")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.packing import pack_documents
 
