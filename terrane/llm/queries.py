@@ -19,6 +19,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.language_model import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.html import extract_pages
 
