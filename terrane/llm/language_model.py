@@ -27,7 +27,7 @@ from terrane.llm.common import BLOCK_BYTES, WordHasher, block_count, crc32_of_id
 
 ORDER = 2
 #: Weight of the lower order, in observations.
-CONCENTRATION = 20.0
+CONCENTRATION = 100.0
 
 _START, _END = b" start", b" end"  # no word holds a blank
 

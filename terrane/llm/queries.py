@@ -31,6 +31,12 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op3_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.toxicity import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.mpeg_audio import media_digests
 
