@@ -43,6 +43,12 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.secrets import scan_documents
+
+    return scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.tokens import token_table
 
