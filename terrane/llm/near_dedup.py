@@ -128,11 +128,11 @@ def sketch(docs: DataFrame, size: int = SHINGLE, registers: int = REGISTERS, row
 def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of digests: each member of a bucket with the bucket's leaders.
 
-    Leaders are the smallest, the largest and two more digests by a hash that
-    differs from band to band; a bucket of up to four texts is mostly compared whole.
+    Leaders are the first and last members by digest and by a hash of it, so that buckets
+    of different bands share them; a bucket of up to four texts is mostly compared whole.
     """
     bands = nodes.select("digest", F.explode("bands").alias("band"))
-    rank = F.struct(F.xxhash64("digest", "band").alias("h"), F.col("digest").alias("d"))
+    rank = F.struct(F.xxhash64("digest").alias("h"), F.col("digest").alias("d"))
     leaders = bands.groupBy("band").agg(
         F.min("digest").alias("l1"), F.max("digest").alias("l2"), F.min(rank)["d"].alias("l3"), F.max(rank)["d"].alias("l4"),
     ).where(F.col("l1") != F.col("l2"))
