@@ -100,22 +100,23 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc)
 
 
-class WordHasher:
+class WordHasher(dict):
     """Words to stable 64-bit hashes, remembered up to a bound."""
 
     def __init__(self, bound: int = 400_000):
-        self.seen: dict[bytes, int] = {}
+        super().__init__()
         self.bound = bound
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self.seen) > self.bound:
-            self.seen.clear()
-        seen = self.seen
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.bound:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def content_words(text: str) -> list[bytes]:

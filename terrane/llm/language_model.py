@@ -40,115 +40,125 @@ def tokens_of(text: str) -> list[bytes]:
 
 
 class Stream:
-    """The texts of a block one after another: each text's tokens after order - 1 starts."""
+    """The texts of a block one after another: each text's tokens after order - 1 starts (one at least)."""
 
     def __init__(self, texts: list[str], order: int, hasher: WordHasher):
         lead = [_START] * max(1, order - 1)
-        self.order, self.lead = order, len(lead)
+        self.order = order
         parts, self.counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = tokens_of(text)
             self.counts[i] = len(words)
             parts.append(hasher(lead + words))
         self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        stops = np.cumsum(self.counts + self.lead)
-        self.real = np.ones(len(self.hashes), bool)  # positions of tokens that are predicted
-        for i in range(self.lead):
-            self.real[stops - self.counts - 1 - i] = False
-        self.ends = np.flatnonzero(self.real)
-        self.owner = np.repeat(np.arange(len(texts)), self.counts)
+        stops = np.cumsum(self.counts + len(lead))
         self.last_start = stops - self.counts - 1
+        real = np.ones(len(self.hashes), bool)
+        for i in range(len(lead)):
+            real[self.last_start - i] = False
+        self.ends = np.flatnonzero(real)  # positions of tokens that are predicted
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hashes of the k tokens that end at each predicted token."""
-        return gram_hashes(self.hashes, k)[self.ends - (k - 1)]
-
-    def contexts(self, k: int) -> np.ndarray:
-        """Hashes of the k tokens before each predicted token."""
-        return gram_hashes(self.hashes, k)[self.ends - k]
-
-    def table(self, k: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct k-grams, and how often each occurs in training texts.
+    def table(self, k: int, train: np.ndarray) -> Table:
+        """The k-grams that end at predicted tokens.
 
         Below the highest order the run of starts counts once a text, as the first token's context.
         """
-        keys, weight = self.grams(k), train[self.owner]
+        at, weight = self.ends, train[self.owner]
         if k < self.order and len(self.counts):
-            keys = np.concatenate([keys, gram_hashes(self.hashes, k)[self.last_start - (k - 1)]])
-            weight = np.concatenate([weight, train])
-        unique, inverse = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(inverse, weights=weight, minlength=len(unique)).astype(np.int64)
+            at, weight = np.concatenate([at, self.last_start]), np.concatenate([weight, train])
+        grams = gram_hashes(self.hashes, k)[at - (k - 1)] if len(at) else np.zeros(0, np.uint64)
+        keys, inverse = np.unique(grams, return_inverse=True)
+        number = np.zeros(len(self.hashes), np.int32)
+        number[at] = inverse
+        return Table(keys, np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64), number)
 
 
-def start_key() -> np.uint64:
-    """The unigram key of a start, which is no token."""
-    return gram_hashes(WordHasher()([_START]), 1)[0]
+class Table:
+    """A block's distinct k-grams in ascending order of their keys, their counts in training, and the number of
+    the one that ends at each position of the stream."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, number: np.ndarray):
+        self.keys, self.counts, self.number = keys, counts, number
+
+    def parts(self, buckets: int) -> list[tuple[int, slice]]:
+        """Buckets are equal ranges of keys."""
+        if not len(self.keys):
+            return []
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        return [(int(bucket[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:])]
+
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as steps, byte plane by byte plane: high planes are mostly zeros."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-class Counts:
-    """Training counts of the n-grams of a block, by order."""
 
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.tables = tables
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
-    def update(self, k: int, keys: np.ndarray, totals: np.ndarray) -> None:
-        own, counts = self.tables[k]
-        counts[np.searchsorted(own, keys)] = totals
 
-    def of(self, k: int, keys: np.ndarray) -> np.ndarray:
-        own, counts = self.tables[k]
-        return counts[np.searchsorted(own, keys)]
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after one byte that says how many."""
+    width = 1 if not len(counts) or counts.max() < 1 << 8 else 4 if counts.max() < 1 << 32 else 8
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def start_key() -> np.uint64:
+    """The unigram key of a start, which is no token."""
+    return gram_hashes(WordHasher()([_START]), 1)[0]
 
 
 class Automaton:
-    """The states and arcs that a stream can meet.
+    """The states and arcs that a stream can meet, numbered as its tables are.
 
-    arcs[k]: ascending keys of the k-grams with a count, and their log10 probabilities.
-    failures[k]: ascending keys of the contexts of k words, and the log10 weights of backing off from them.
+    arcs[k]: for each k-gram the log10 probability of its last word after the others, nan where training has no such arc.
+    failures[k]: for each k-gram, as a state, the log10 weight of backing off from it; 0 where it is no state.
     """
 
-    def __init__(self, stream: Stream, counts: Counts, tokens: int, types: int, concentration: float = CONCENTRATION):
-        self.order = stream.order
+    def __init__(self, stream: Stream, tables: dict[int, Table], tokens: int, types: int, concentration: float = CONCENTRATION):
+        self.stream, self.tables, self.order = stream, tables, stream.order
         self.norm = float(tokens + types + 1)
-        self.arcs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.failures: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        c1 = counts.of(1, stream.grams(1))
-        lower = (c1 + 1) / self.norm
+        self.arcs: dict[int, np.ndarray] = {}
+        self.failures: dict[int, np.ndarray] = {}
+        ends = stream.ends
+        p = (tables[1].counts + 1) / self.norm
+        self.root = np.log10(p)
+        lower = p[tables[1].number[ends]]
         for k in range(2, self.order + 1):
-            keys, first, inverse = np.unique(stream.grams(k), return_index=True, return_inverse=True)
-            context = stream.contexts(k - 1)
-            c, h = counts.of(k, keys), counts.of(k - 1, context[first])
-            p = np.where(h > 0, (c + concentration * lower[first]) / (h + concentration), lower[first])
-            self.arcs[k] = keys[c > 0], np.log10(p[c > 0])
-            states = np.unique(context)
-            seen = counts.of(k - 1, states)
-            self.failures[k - 1] = states[seen > 0], np.log10(concentration / (seen[seen > 0] + concentration))
-            lower = p[inverse]
-        self.known = c1
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, values = table
-        if not len(own):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        found = own[at] == keys
-        return found, np.where(found, values[at], 0.0)
-
-    def traverse(self, stream: Stream) -> np.ndarray:
+            table, context = tables[k], tables[k - 1]
+            some = np.zeros(len(table.keys), np.int64)  # a token at which each k-gram ends
+            some[table.number[ends]] = np.arange(len(ends))
+            h = context.counts[context.number[ends[some] - 1]] if len(some) else np.zeros(0)
+            p = np.where(h > 0, (table.counts + concentration * lower[some]) / (h + concentration), lower[some]) if len(some) else np.zeros(0)
+            self.arcs[k] = np.where(table.counts > 0, np.log10(p), np.nan)
+            self.failures[k - 1] = np.where(context.counts > 0, np.log10(concentration / (context.counts + concentration)), 0.0)
+            lower = p[table.number[ends]]
+
+    def known(self) -> np.ndarray:
+        return self.tables[1].counts[self.tables[1].number[self.stream.ends]]
+
+    def traverse(self) -> np.ndarray:
         """The weight of each token: that of the failure arcs followed for it and of the arc taken.
 
         The state before a token is the longest known run of words before it, so that all tokens
         of a block are walked through at once, level by level.
         """
-        weight = np.zeros(len(stream.ends))
-        pending = np.arange(len(stream.ends))
+        weight = np.zeros(len(self.stream.ends))
+        pending = np.arange(len(weight))
         for k in range(self.order, 1, -1):
-            found, w = self._find(self.arcs[k], stream.grams(k)[pending])
-            weight[pending] += w
-            pending = pending[~found]
-            weight[pending] += self._find(self.failures[k - 1], stream.contexts(k - 1)[pending])[1]
-        weight[pending] += np.log10((self.known[pending] + 1) / self.norm)
+            at = self.stream.ends[pending]
+            arc = self.arcs[k][self.tables[k].number[at]] if len(self.arcs[k]) else np.full(len(at), np.nan)
+            missing = np.isnan(arc)
+            weight[pending[~missing]] += arc[~missing]
+            pending, at = pending[missing], at[missing]
+            weight[pending] += self.failures[k - 1][self.tables[k - 1].number[at - 1]]
+        weight[pending] += self.root[self.tables[1].number[self.stream.ends[pending]]]
         return weight
 
 
@@ -158,12 +168,9 @@ def _segments(buckets: int, order: int, columns: list[str]):
         train = pdf["train"].to_numpy(bool)
         block, rows = int(pdf["block"].iloc[0]), []
         for k in range(1, order + 1):
-            keys, counts = stream.table(k, train)
-            # Keys are hashes in ascending order: equal ranges of them are the buckets.
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for part, part_counts, b in zip(np.split(keys, cuts), np.split(counts, cuts), bucket[np.concatenate([[0], cuts])] if len(keys) else []):
-                rows.append((block, k, int(b), part.astype("<u8").tobytes(), part_counts.astype("<u4").tobytes()))
+            table = stream.table(k, train)
+            for bucket, part in table.parts(buckets):
+                rows.append((block, k, bucket, pack_keys(table.keys[part]), pack_counts(table.counts[part])))
         return pd.DataFrame(rows, columns=columns)
 
     return count
@@ -174,22 +181,23 @@ def _merge(columns: list[str]):
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, tokens, types = [], 0, 0
+        bucket = int(pdf["bucket"].iloc[0])
         for k, part in pdf.groupby("k"):
-            keys = [np.frombuffer(x, "<u8") for x in part["grams"]]
-            counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in part["counts"]]
+            keys = [unpack_keys(x) for x in part["grams"]]
+            counts = [unpack_counts(x) for x in part["counts"]]
             unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
             if k == 1:
                 real = unique != skip
                 tokens, types = int(totals[real].sum()), int((totals[real] > 0).sum())
             at = 0
-            for block, own_keys, own in zip(part["block"], keys, counts):
+            for block, own in zip(part["block"], counts):
                 all_counts = totals[inverse[at : at + len(own)]]
                 at += len(own)
                 other = all_counts != own  # the block knows the rest itself
                 if other.any():
-                    rows.append((block, k, own_keys[other].astype("<u8").tobytes(), all_counts[other].astype("<u8").tobytes(), 0, 0))
-        rows.append((-1, 0, b"", b"", tokens, types))
+                    rows.append((block, k, bucket, np.packbits(other).tobytes(), pack_counts(all_counts[other]), 0, 0))
+        rows.append((-1, 0, bucket, b"", b"", tokens, types))
         return pd.DataFrame(rows, columns=columns)
 
     return merge
@@ -214,7 +222,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, concentration: float =
     dealt = rows.repartition("block")
     parts = schema(("block", "int"), ("k", "int"), ("bucket", "int"), ("grams", "binary"), ("counts", "binary"))
     segments = dealt.groupBy("block").applyInPandas(_segments(blocks, order, parts.names), parts)
-    slices = schema(("block", "int"), ("k", "int"), ("grams", "binary"), ("totals", "binary"), ("tokens", "long"), ("types", "long"))
+    slices = schema(("block", "int"), ("k", "int"), ("bucket", "int"), ("which", "binary"), ("totals", "binary"), ("tokens", "long"), ("types", "long"))
     merged = segments.groupBy("bucket").applyInPandas(_merge(slices.names), slices)
     size = merged.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))
     known = dealt.crossJoin(F.broadcast(size))  # a single row
@@ -226,16 +234,22 @@ def score_documents(docs: DataFrame, order: int = ORDER, concentration: float =
         if not len(left):
             return pd.DataFrame({f.name: [] for f in out})
         stream = Stream(left["text"].tolist(), order, WordHasher())
-        counts = Counts({k: stream.table(k, left["train"].to_numpy(bool)) for k in range(1, order + 1)})
-        for k, grams, totals in zip(right["k"], right["grams"], right["totals"]):
-            counts.update(k, np.frombuffer(grams, "<u8"), np.frombuffer(totals, "<u8"))
+        answers = {(k, b): (which, totals) for k, b, which, totals in zip(right["k"], right["bucket"], right["which"], right["totals"])}
+        tables = {}
+        for k in range(1, order + 1):
+            tables[k] = table = stream.table(k, left["train"].to_numpy(bool))
+            for bucket, part in table.parts(blocks):
+                if (k, bucket) in answers:
+                    which, totals = answers.pop((k, bucket))
+                    counts = table.counts[part]
+                    counts[np.unpackbits(np.frombuffer(which, np.uint8), count=len(counts)).astype(bool)] = unpack_counts(totals)
         tokens, types = int(left["tokens"].iloc[0]), int(left["types"].iloc[0])
-        model = Automaton(stream, counts, tokens, types, concentration)
+        model = Automaton(stream, tables, tokens, types, concentration)
         by = lambda x: np.bincount(stream.owner, weights=x, minlength=len(left))
         return pd.DataFrame({
-            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": stream.counts, "n_known": by(model.known > 0).astype(np.int64),
-            "train_tokens": tokens, "base_score": by(np.log10((model.known + 1) / model.norm)), "score": by(model.traverse(stream)),
+            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": stream.counts, "n_known": by(model.known() > 0).astype(np.int64),
+            "train_tokens": tokens, "base_score": by(model.root[tables[1].number[stream.ends]]), "score": by(model.traverse()),
         })
 
-    answers = merged.where("block >= 0").select("block", "k", "grams", "totals")
+    answers = merged.where("block >= 0").select("block", "k", "bucket", "which", "totals")
     return known.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, out)
