@@ -8,6 +8,7 @@ table of bounded size.
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from itertools import chain
@@ -15,9 +16,20 @@ from itertools import chain
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Where cutting at every blank, line end, comma and full stop could split what the library keeps together.
-_ODD = re.compile(r"\s\s|\0|[\W_][.,]|\A[.,]")
-_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]")
+#: A comma or full stop that does not follow a letter or digit.
+_LOOSE_SIGN = re.compile(r"[.,](?<=[\W_][.,])")
+_LOOSE_SIGN_IN_WORD = re.compile(r"[.,](?<=[^\w\s][.,])|[.,](?<=_[.,])")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+
+
+def _plain(text: str) -> bool:
+    """Whether its only white space is single blanks and line ends, with no loose sign: it may be cut at all of them.
+
+    isprintable() is false for control characters and for all white space but the blank.
+    """
+    return (
+        text.replace("\n", "").isprintable() and not any(d in text for d in _DOUBLE) and text[:1] not in (".", ",") and not _LOOSE_SIGN.search(text)
+    )
 
 
 @lru_cache(maxsize=4)
@@ -36,18 +48,30 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order they are first asked for, and lists those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of many texts. keep: how many pieces are remembered at most."""
 
-    def __init__(self, path: str, end_id: int, keep: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, keep: int = 900_000):
         self.tokenizer, self.end_id, self.keep = tokenizer(path), end_id, keep
         # A tokenizer that drops white space gives no ids for a blank.
         self.drops_blanks = not self.tokenizer.encode(" \n", add_special_tokens=False).ids
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.chunks: list[np.ndarray] = []
+        self.index = _Numbers()
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
@@ -55,24 +79,23 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         if self.drops_blanks:
             text = text.replace("\n", " ")
-            if not _SIGNS.search(text):
+            if not _LOOSE_SIGN_IN_WORD.search(text):
                 text = text.replace(",", " ,").replace(".", " .")
-            return [p for p in text.split(" ") if p]
-        if _ODD.search(text):
+            return text.split(" ")
+        if not _plain(text):
             return _CUT.split(text)
-        text = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.")
-        return [p for p in text.split("\0") if p]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by the end id, and the number of ids of each text."""
-        cut = [self._pieces(t) if t else [] for t in texts]
+        cut = [self._pieces(t) for t in texts]
         if len(self.index) > self.keep:
             self._reset()
-        new = set(chain.from_iterable(cut)).difference(self.index)
-        if new:
-            self._learn(list(new))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         text_ends = np.concatenate([[0], np.cumsum(counts)])
@@ -86,12 +109,12 @@ class Encoder:
         return out, n_ids + 1
 
     def _learn(self, pieces: list[str]) -> None:
-        base = len(self.index)
+        gc.disable()  # the many short lists made here are no garbage
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        gc.enable()
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(lengths.sum()))
         starts = len(self.flat) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.index.update(zip(pieces, range(base, base + len(pieces))))
         self.flat = np.concatenate([self.flat, flat])
         self.starts = np.concatenate([self.starts, starts.astype(np.int64)])
         self.lengths = np.concatenate([self.lengths, lengths])
