@@ -20,7 +20,7 @@ from terrane.llm.common import batch_of, block_count, id_type, schema, shared_di
 from terrane.llm.token_encode import encoder
 
 WRITER = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",  # ids that outgrow the dictionary are delta-packed
     "parquet.enable.dictionary": "true",
     "parquet.block.size": str(32 << 20),
@@ -29,6 +29,10 @@ WRITER = {
 }
 
 
+#: Files whose first positions, 12 bytes each, are broadcast when reading.
+BROADCAST_PARTS = 200_000
+
+
 def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
     """Write doc_id, part, part_start, n_tokens and ids of all documents, ascending by doc_id (nulls first).
 
@@ -65,6 +69,8 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # reads two small columns
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
+    if len(rows.inputFiles()) <= BROADCAST_PARTS:  # else ids would be shuffled to meet a few numbers
+        starts = F.broadcast(starts)
     return rows.join(starts, "part").select(
         "doc_id", (F.col("first") + F.col("part_start")).cast("long").alias("start"), "n_tokens", "ids"
     )
