@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.functions import kernels as k
 from terrane.functions import overlay as o
@@ -20,6 +21,14 @@ from terrane.functions import wkb
 from terrane.functions.crs import lookup, transform
 
 
+# Type objects, as workers import this module without a session that could read type names.
+_TYPES = {"double": T.DoubleType(), "string": T.StringType(), "bigint": T.LongType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+
+
+def _udf(f, kind: str, *more):
+    return F.pandas_udf(f, _TYPES[kind], *more)
+
+
 class _Decoded(dict):
     def __missing__(self, data):
         g = self[data] = wkb.decode(data)
@@ -35,7 +44,7 @@ def _unary(f, kind: str):
         seen = _Decoded()
         return pd.Series([None if d is None or (x := seen[d]) is None else f(x) for d in g], dtype=object)
 
-    return F.pandas_udf(run, kind)
+    return _udf(run, kind)
 
 
 def _binary(f, kind: str):
@@ -43,7 +52,7 @@ def _binary(f, kind: str):
         seen = _Decoded()
         return pd.Series([None if p is None or q is None or (x := seen[p]) is None or (y := seen[q]) is None else f(x, y) for p, q in zip(a, b)], dtype=object)
 
-    return F.pandas_udf(run, kind)
+    return _udf(run, kind)
 
 
 def _with_number(f, kind: str):
@@ -51,7 +60,7 @@ def _with_number(f, kind: str):
         seen = _Decoded()
         return pd.Series([None if d is None or v != v or (x := seen[d]) is None else f(x, float(v)) for d, v in zip(g, _floats(n))], dtype=object)
 
-    return F.pandas_udf(run, kind)
+    return _udf(run, kind)
 
 
 def _edge(i: int):
@@ -59,7 +68,7 @@ def _edge(i: int):
         v = wkb.bounds_column(list(g))[:, i]
         return pd.Series(v).astype(object).where(~np.isnan(v), None)
 
-    return F.pandas_udf(run, "double")
+    return _udf(run, "double")
 
 
 def _point_part(i: int):
@@ -134,9 +143,9 @@ FUNCTIONS = {
     "st_geometrytype": _unary(lambda g: g[0], "string"),
     "st_npoints": _unary(k.n_points, "bigint"),
     "st_astext": _unary(wkb.to_wkt, "string"),
-    "st_geomfromtext": F.pandas_udf(_st_geomfromtext, "binary"),
-    "st_point": F.pandas_udf(_st_point, "binary"),
-    "st_makeenvelope": F.pandas_udf(_st_makeenvelope, "binary"),
+    "st_geomfromtext": _udf(_st_geomfromtext, "binary"),
+    "st_point": _udf(_st_point, "binary"),
+    "st_makeenvelope": _udf(_st_makeenvelope, "binary"),
     "st_centroid": _unary(lambda g: _point_or_none(k.centroid(g)), "binary"),
     "st_convexhull": _unary(lambda g: wkb.encode(("Polygon", [h] if (h := k.convex_hull(list(wkb.coordinates(g)))) else [])), "binary"),
     "st_union": _binary(lambda a, b: wkb.encode(o.set_operation(a, b, "union")), "binary"),
@@ -145,7 +154,7 @@ FUNCTIONS = {
     "st_symdifference": _binary(lambda a, b: wkb.encode(o.set_operation(a, b, "symdifference")), "binary"),
     "st_buffer": _with_number(lambda g, d: wkb.encode(o.buffer(g, d)), "binary"),
     "st_simplify": _with_number(lambda g, t: wkb.encode(k.simplify(g, t)), "binary"),
-    "st_transform": F.pandas_udf(_st_transform, "binary"),
+    "st_transform": _udf(_st_transform, "binary"),
     "st_intersects": _binary(lambda a, b: bool(k.intersects(a, b)), "boolean"),
     "st_contains": _binary(lambda a, b: bool(k.contains(a, b)), "boolean"),
     "st_within": _binary(lambda a, b: bool(k.contains(b, a)), "boolean"),
@@ -163,7 +172,7 @@ def _st_dwithin(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-FUNCTIONS["st_dwithin"] = F.pandas_udf(_st_dwithin, "boolean")
+FUNCTIONS["st_dwithin"] = _udf(_st_dwithin, "boolean")
 
 
 def _st_union_agg(g: pd.Series) -> bytes:
@@ -187,7 +196,7 @@ def _aggregate(f):
     def run(g: pd.Series) -> bytes:
         return f(g)
 
-    return F.pandas_udf(run, "binary", F.PandasUDFType.GROUPED_AGG)
+    return _udf(run, "binary", F.PandasUDFType.GROUPED_AGG)
 
 
 AGGREGATES = {"st_union_agg": _aggregate(_st_union_agg), "st_extent": _aggregate(_st_extent), "st_collect": _aggregate(_st_collect)}
@@ -234,8 +243,7 @@ def bounds_struct(geometry: str | Column) -> Column:
     def run(g: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(wkb.bounds_column(list(g)), columns=["xmin", "ymin", "xmax", "ymax"])
 
-    b = F.pandas_udf(run, "xmin double, ymin double, xmax double, ymax double")(geometry)
-    return b
+    return F.pandas_udf(run, "xmin double, ymin double, xmax double, ymax double")(geometry)
 
 
 def extent_by(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
