@@ -135,11 +135,12 @@ def _around(cells: DataFrame, weight=lambda dx, dy: 1.0) -> DataFrame:
     return sent.select((F.col("ix") - F.col("o.dx")).alias("ix"), (F.col("iy") - F.col("o.dy")).alias("iy"), F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"), "nv", F.col("o.k").alias("k"), "count")
 
 
-_OWN = F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("count"))).alias("count")
+def _own() -> Column:
+    return F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("count"))).alias("count")
 
 
 def _focal(cells: DataFrame, value: Column, weight=lambda dx, dy: 1.0) -> DataFrame:
-    return _around(cells, weight).groupBy("ix", "iy").agg(value.alias("value"), _OWN).where("count is not null")
+    return _around(cells, weight).groupBy("ix", "iy").agg(value.alias("value"), _own()).where("count is not null")
 
 
 def smooth(cells: DataFrame, passes: int = 1, gauss: bool = False) -> DataFrame:
@@ -167,7 +168,7 @@ def hillshade(cells: DataFrame, sx: float, sy: float, azimuth: float = 315.0, al
     upper median of the gradients that are not zero."""
     at = lambda dx, dy: F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col("nv")))
     names = {(dx, dy): f"n{dx + 1}{dy + 1}" for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
-    rows = _around(cells).groupBy("ix", "iy").agg(*[at(*d).alias(n) for d, n in names.items()], _OWN).where("count is not null")
+    rows = _around(cells).groupBy("ix", "iy").agg(*[at(*d).alias(n) for d, n in names.items()], _own()).where("count is not null")
     v = {d: F.coalesce(n, names[0, 0]) for d, n in names.items()}
     gx = ((v[1, 1] + 2 * v[1, 0] + v[1, -1]) - (v[-1, 1] + 2 * v[-1, 0] + v[-1, -1])) / (8 * sx)
     gy = ((v[-1, 1] + 2 * v[0, 1] + v[1, 1]) - (v[-1, -1] + 2 * v[0, -1] + v[1, -1])) / (8 * sy)

@@ -338,10 +338,11 @@ def grid_apportion_polygons(spark, d):
     return grid.summarise(w, "sum", 7.0, 3.0).select("ix", "iy", F.round("value", 2).alias("value"), F.round("count", 6).alias("count"))
 
 
-_MEANS = f"(SELECT ix, iy, avg(v) AS value, count(*)::DOUBLE AS count FROM {_CELL} GROUP BY 1, 2)"
+# Sums of whole numbers are the same in any order.
+_SURFACE = f"(SELECT ix, iy, sum(floor(v)) AS value, count(*)::DOUBLE AS count FROM {_CELL} GROUP BY 1, 2)"
 
 
-def _near(value: str, base: str = _MEANS) -> str:
+def _near(value: str, base: str = _SURFACE) -> str:
     return f"SELECT a.ix, a.iy, {value} AS value, max(a.count) AS count FROM {base} a JOIN {base} b ON b.ix BETWEEN a.ix-1 AND a.ix+1 AND b.iy BETWEEN a.iy-1 AND a.iy+1 GROUP BY 1, 2"
 
 
@@ -350,7 +351,8 @@ def _final(sql: str) -> str:
 
 
 def _cells(spark, d):
-    return grid.summarise(_weights(spark, d), "mean", 10.0, 10.0)
+    whole = _weights(spark, d).withColumn("v", F.floor("v").cast("double"))
+    return grid.summarise(whole, "sum", 10.0, 10.0)
 
 
 @query(_final(_near("avg(b.value)")))
@@ -386,13 +388,13 @@ def grid_hillshade(spark, d):
     return _rounded(grid.hillshade(_cells(spark, d), 10.0, 10.0))
 
 
-@query(f"SELECT i AS n, round(lo + (hi-lo)*i/6, 6) AS level FROM (SELECT min(value) AS lo, max(value) AS hi FROM {_MEANS}), range(1, 6) r(i)")
+@query(f"SELECT i AS n, round(lo + (hi-lo)*i/6, 6) AS level FROM (SELECT min(value) AS lo, max(value) AS hi FROM {_SURFACE}), range(1, 6) r(i)")
 def contour_levels_equal(spark, d):
     levels = grid.contour_levels(_cells(spark, d), 5)
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(levels, 1)], "n bigint, level double")
 
 
-@query(f"SELECT i AS n, round(quantile_cont(value, [1/6.0, 2/6.0, 3/6.0, 4/6.0, 5/6.0])[i], 6) AS level FROM {_MEANS}, range(1, 6) r(i) GROUP BY i")
+@query(f"SELECT i AS n, round(quantile_cont(value, [1/6.0, 2/6.0, 3/6.0, 4/6.0, 5/6.0])[i], 6) AS level FROM {_SURFACE}, range(1, 6) r(i) GROUP BY i")
 def contour_levels_quantile(spark, d):
     levels = grid.contour_levels(_cells(spark, d), 5, quantile=True)
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(levels, 1)], "n bigint, level double")
@@ -404,7 +406,7 @@ def contour_lines(spark, d):
     return grid.contour_lines(cells, grid.contour_levels(cells, 3), 10.0, 10.0).select("level", st("st_length", "geometry").alias("length"))
 
 
-@query(f"SELECT (ix::VARCHAR || ':' || iy::VARCHAR) AS cell, count, 100.0::DOUBLE AS area FROM {_MEANS}")
+@query(f"SELECT (ix::VARCHAR || ':' || iy::VARCHAR) AS cell, count, 100.0::DOUBLE AS area FROM {_SURFACE}")
 def grid_cell_geometry(spark, d):
     return grid.cell_geometry(_cells(spark, d), 10.0, 10.0).select("cell", "count", F.round(st("st_area", "geometry"), 6).alias("area"))
 
