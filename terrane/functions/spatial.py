@@ -47,8 +47,26 @@ def _unary(f, kind: str):
     return _udf(run, kind)
 
 
-def _binary(f, kind: str):
+def _meet(a, pa, b, pb):
+    return (a[:, 0] <= b[:, 2]) & (b[:, 0] <= a[:, 2]) & (a[:, 1] <= b[:, 3]) & (b[:, 1] <= a[:, 3])
+
+
+def _cover(a, pa, b, pb):
+    inside = (a[:, 0] <= b[:, 0]) & (a[:, 1] <= b[:, 1]) & (b[:, 2] <= a[:, 2]) & (b[:, 3] <= a[:, 3])
+    within = (a[:, 0] < b[:, 0]) & (a[:, 1] < b[:, 1]) & (b[:, 2] < a[:, 2]) & (b[:, 3] < a[:, 3])
+    return np.where(pb & ~pa, within, inside)  # a point on the edge is not contained
+
+
+def _part(a, pa, b, pb):
+    return _cover(b, pb, a, pa)
+
+
+def _binary(f, kind: str, quick=None):
+    """quick: the same on bounds, for columns of points and upright rectangles."""
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        if quick and (x := wkb.simple_shapes(list(a))) and (y := wkb.simple_shapes(list(b))):
+            none = np.isnan(x[0][:, 0]) | np.isnan(y[0][:, 0])
+            return pd.Series(quick(*x, *y)).astype(object).where(~none, None)
         seen = _Decoded()
         return pd.Series([None if p is None or q is None or (x := seen[p]) is None or (y := seen[q]) is None else f(x, y) for p, q in zip(a, b)], dtype=object)
 
@@ -127,12 +145,21 @@ def _st_transform(g: pd.Series, source: pd.Series, target: pd.Series) -> pd.Seri
     return pd.Series(out, dtype=object)
 
 
+def _st_area(g: pd.Series) -> pd.Series:
+    if shapes := wkb.simple_shapes(list(g)):
+        b, _ = shapes
+        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        return pd.Series(area).astype(object).where(~np.isnan(area), None)
+    seen = _Decoded()
+    return pd.Series([None if d is None or (x := seen[d]) is None else float(k.area(x)) for d in g], dtype=object)
+
+
 def _point_or_none(p):
     return None if p is None else wkb.encode(("Point", p))
 
 
 FUNCTIONS = {
-    "st_area": _unary(lambda g: float(k.area(g)), "double"),
+    "st_area": _udf(_st_area, "double"),
     "st_length": _unary(lambda g: float(k.length(g)), "double"),
     "st_x": _point_part(0),
     "st_y": _point_part(1),
@@ -155,9 +182,9 @@ FUNCTIONS = {
     "st_buffer": _with_number(lambda g, d: wkb.encode(o.buffer(g, d)), "binary"),
     "st_simplify": _with_number(lambda g, t: wkb.encode(k.simplify(g, t)), "binary"),
     "st_transform": _udf(_st_transform, "binary"),
-    "st_intersects": _binary(lambda a, b: bool(k.intersects(a, b)), "boolean"),
-    "st_contains": _binary(lambda a, b: bool(k.contains(a, b)), "boolean"),
-    "st_within": _binary(lambda a, b: bool(k.contains(b, a)), "boolean"),
+    "st_intersects": _binary(lambda a, b: bool(k.intersects(a, b)), "boolean", _meet),
+    "st_contains": _binary(lambda a, b: bool(k.contains(a, b)), "boolean", _cover),
+    "st_within": _binary(lambda a, b: bool(k.contains(b, a)), "boolean", _part),
     "st_distance": _binary(k.distance, "double"),
 }
 
@@ -176,7 +203,7 @@ FUNCTIONS["st_dwithin"] = _udf(_st_dwithin, "boolean")
 
 
 def _st_union_agg(g: pd.Series) -> bytes:
-    polygons = [p for d in g if d is not None and (x := wkb.decode(d)) for p in wkb.polygons_of(x)]
+    polygons = [p for d in dict.fromkeys(g) if d is not None and (x := wkb.decode(d)) for p in wkb.polygons_of(x)]
     return wkb.encode(("MultiPolygon", o.union_all(polygons))) if polygons else None
 
 

@@ -143,6 +143,33 @@ def bounds_column(data: list[bytes | None]) -> np.ndarray:
     return out
 
 
+def simple_shapes(data: list[bytes | None]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Bounds and whether each is a point, if all of a column are points and upright rectangles (null: nan); else None."""
+    sizes = np.fromiter((-1 if d is None else len(d) for d in data), np.int64, len(data))
+    if not np.isin(sizes, (-1, 21, 93)).all():
+        return None
+    out, is_point = np.full((len(data), 4), np.nan), sizes == 21
+    for size, lead in ((21, b"\1\1\0\0\0"), (93, b"\1\3\0\0\0\1\0\0\0\5\0\0\0")):
+        at = np.flatnonzero(sizes == size)
+        if not len(at):
+            continue
+        rows = np.frombuffer(b"".join([data[i] for i in at]), np.uint8).reshape(-1, size)
+        if (rows[:, : len(lead)] != np.frombuffer(lead, np.uint8)).any():
+            return None
+        c = np.ascontiguousarray(rows[:, len(lead) :]).view("<f8").reshape(len(at), -1, 2)
+        b = np.concatenate([c.min(axis=1), c.max(axis=1)], axis=1)
+        if size == 93:
+            x, y = c[:, :4, 0], c[:, :4, 1]
+            turned = (x[:, 0] == x[:, 1]) & (x[:, 2] == x[:, 3]) & (y[:, 1] == y[:, 2]) & (y[:, 3] == y[:, 0])
+            level = (y[:, 0] == y[:, 1]) & (y[:, 2] == y[:, 3]) & (x[:, 1] == x[:, 2]) & (x[:, 3] == x[:, 0])
+            if not ((turned | level) & (c[:, 0] == c[:, 4]).all(axis=1) & (b[:, 0] < b[:, 2]) & (b[:, 1] < b[:, 3])).all():
+                return None
+        elif np.isnan(c).any():
+            return None
+        out[at] = b
+    return out, is_point
+
+
 def coordinates(g: tuple):
     """All points of a geometry, closing ones included."""
     kind, body = g
