@@ -14,6 +14,7 @@ label the tokens the field learns from.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from terrane.llm.common import WORD_TABLE, WordHasher, batch_of, content_words, crc32_of_id, gram_hashes, id_type, schema
 
 #: Bounds of the sample that the model is fitted on: labelled documents of each class, and characters of one.
-TOXIC_SAMPLE, PLAIN_SAMPLE, SAMPLE_CHARS = 2500, 5000, 20_000
+TOXIC_SAMPLE, PLAIN_SAMPLE, SAMPLE_CHARS = 1500, 3000, 20_000
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.3
 _NEUTRAL = -12.0  # log odds of a text without words
@@ -205,9 +206,17 @@ def offending_units(docs: list[tuple[list[bytes], int]], plain_weight: float, pr
     groups = {_group(words): (words, toxic) for words, toxic in docs}
     toxic = sum(t for _, t in groups.values())
     least = 4 if toxic >= 150 else 3
+    # Most units occur once: their hashes are counted before any unit is kept.
+    slot = lambda u: zlib.crc32(u.encode()) & 0x3FFFFF
+    often = np.zeros(1 << 22, np.uint8)
+    for words, t in groups.values():
+        if t:
+            at = np.unique(np.array([slot(u) for u in _units(set(words))], np.int64))
+            often[at] = np.minimum(often[at], 254) + 1
     for i, (words, t) in groups.items():
         for u in _units(set(words)) if t else ():
-            where[u].add(i)
+            if often[slot(u)] > 1:
+                where[u].add(i)
     where = {u: x for u, x in where.items() if len(x) >= 2}
     for i, (words, t) in groups.items():
         for u in _units(set(words)) if not t else ():
