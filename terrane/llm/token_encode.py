@@ -18,7 +18,8 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: A comma or full stop that does not follow a letter or digit.
 _LOOSE_SIGN = re.compile(r"[.,](?<=[\W_][.,])")
-_LOOSE_SIGN_IN_WORD = re.compile(r"[.,](?<=[^\w\s][.,])|[.,](?<=_[.,])")
+#: The same, but a blank may precede: what else Python counts as white space may be none to the tokenizer.
+_LOOSE_SIGN_IN_WORD = re.compile(r"[.,](?<=[^\w \n][.,])|[.,](?<=_[.,])")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
 
