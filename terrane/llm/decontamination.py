@@ -109,8 +109,9 @@ def _hits(text: str, hasher: WordHasher, index: Index) -> tuple[int, list[tuple[
     return len(words), merged, items
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of bounded size. One block is on the driver at a time while passes are made."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int | None = None):
+    """The benchmark's items in blocks of bounded size, one after another on the driver."""
+    block_bytes = block_bytes or BLOCK_BYTES
     sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
