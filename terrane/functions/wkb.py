@@ -271,7 +271,7 @@ def from_wkt(text: str) -> tuple:
             raise BadGeometry("invalid WKT")
         tokens.append(m[1])
         at = m.end()
-    tokens.append("")
+    tokens += ["", "", ""]
     pos = 0
 
     def next_() -> str:

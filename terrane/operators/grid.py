@@ -56,7 +56,7 @@ def polygon_weights(df: DataFrame, geometry: str, value: str, sx: float, sy: flo
 
     def clip(ring, axis, at, keep_above):
         out = []
-        for a, b in zip(ring, [*ring[1:], ring[0]]):
+        for a, b in zip(ring, [*ring[1:], *ring[:1]]):
             ia, ib = (a[axis] >= at) == keep_above, (b[axis] >= at) == keep_above
             if ia:
                 out.append(a)
