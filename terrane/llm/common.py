@@ -131,3 +131,7 @@ def batch_of(fields: T.StructType, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, target)]
     arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, target)]
     return pa.RecordBatch.from_arrays(arrays, schema=target)
+
+
+def batch_table(fields: T.StructType, columns: list) -> pa.Table:
+    return pa.Table.from_batches([batch_of(fields, columns)])

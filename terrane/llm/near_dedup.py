@@ -7,9 +7,11 @@ later than the latest register end early. Registers of two documents agree with
 the probability Jaccard similarity of their weighted sets. Bands of registers
 give candidate pairs, which are verified on the shingles themselves.
 
-Within a band's bucket each document is held against a few leaders of the
-bucket, not against every other one, so that work grows with the rows of a
-bucket. Verified links are closed into classes.
+Within a band's bucket each document is first held against a few leaders of
+the bucket, so that work grows with the rows of a bucket. Verified links are
+closed into classes. Only buckets that still hold several classes can hide a
+further link; there members of different classes are compared, by registers
+within groups of bounded size, and what looks alike is verified as before.
 """
 
 from __future__ import annotations
@@ -18,12 +20,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import WordHasher, batch_of, content_words, gram_hashes, id_type, mix64, schema, stored
+from terrane.llm.common import WordHasher, batch_of, batch_table, content_words, gram_hashes, id_type, mix64, schema, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: How far below the threshold the agreement of two documents' registers may be for them to be verified.
+COARSE_SLACK = 0.22
+#: Members that one task compares with each other; larger buckets are split first.
+GROUP = 512
+#: Registers of the finer signatures of documents in buckets of several classes, and how far below the threshold
+#: their agreement may be: four standard deviations of the estimate.
+FINE, FINE_SLACK = 1024, 0.05
+#: Elements of shingle sets that a verifying task remembers.
+REMEMBERED = 2_000_000
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -159,16 +170,35 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(agree, out)
 
 
+def texts_of(digests: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """digest and text of the digests named, from the rows that stand for them."""
+    rows = nodes.join(digests.distinct(), "digest", "left_semi").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    source = docs.select("doc_id", "text", _digest().alias("digest"))
+    found = source.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
+    return found.groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def finer(texts: DataFrame, size: int, registers: int = FINE) -> DataFrame:
+    """digest and fine, the low bytes of a longer signature."""
+    out = schema(("digest", "binary"), ("fine", "binary"))
+
+    def hashed(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                signs = signatures([weighted(t, hasher, size) for t in part.column(1).to_pylist()], registers)
+                yield batch_of(out, [part.column(0), [s.tobytes() for s in (signs & np.uint64(0xFF)).astype(np.uint8)]])
+
+    return texts.select("digest", "text").mapInArrow(hashed, out)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose texts are similar to at least the threshold.
 
     Texts are fetched for the rows that stand for the pairs' digests only.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    rows = nodes.join(wanted, "digest", "left_semi").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    source = docs.select("doc_id", "text", _digest().alias("digest"))
-    found = source.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
-    texts = stored(found.groupBy("digest").agg(F.first("text").alias("text")))
+    texts = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")), docs, nodes))
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
     out = schema(("a", "binary"), ("b", "binary"))
@@ -177,13 +207,24 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, thr
         import pyarrow as pa
 
         hasher = WordHasher()
-        last: tuple = (None, None)
+        sets: dict[bytes, tuple] = {}
+        held = 0
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != last[0]:
-                    last = (x, weighted(x, hasher, size))
-                keep.append(similarity(last[1], weighted(y, hasher, size)) >= threshold)
+            for i in range(batch.num_rows):
+                two = []
+                for c in (0, 1):
+                    digest = batch.column(c)[i].as_py()
+                    found = sets.get(digest)
+                    if found is None:
+                        found = weighted(batch.column(c + 2)[i].as_py(), hasher, size)
+                        if held + len(found[0]) > REMEMBERED:
+                            sets.clear()
+                            held = 0
+                        sets[digest] = found
+                        held += len(found[0])
+                    two.append(found)
+                keep.append(similarity(*two) >= threshold)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(check, out)
@@ -217,6 +258,54 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _mixed(members: DataFrame, key: str) -> DataFrame:
+    """key and n of the buckets whose members are of more than one class; two members have met as leaders."""
+    found = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return found.where((F.col("r0") != F.col("r1")) & (F.col("n") > 2)).select(key, "n")
+
+
+def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float, group: int = GROUP) -> DataFrame:
+    """Pairs (a, b) of digests that share a bucket but no class, and whose signatures do not rule the threshold out.
+
+    Buckets of up to `group` members are compared in one group each. Larger ones are split by every second band
+    that members share, which similar texts do many times; what is still larger is cut into blocks, and each pair of
+    blocks is a group. Pairs are made inside a group, and only those that agree leave it.
+    """
+    named = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "bands", F.coalesce("root", "digest").alias("root"))
+    members = stored(named.where(F.size("bands") > 0).select("digest", "root", F.explode("bands").alias("band")))
+    mixed = stored(_mixed(members, "band"))
+    small = members.join(mixed.where(F.col("n") <= group), "band").select("digest", "root", F.col("band").alias("key"))
+    crowd = members.join(mixed.where(F.col("n") > group), "band").select("digest", "root", "band")
+    split = crowd.join(named.select("digest", F.explode("bands").alias("other")), "digest").where("band <> other").select(
+        "digest", "root", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key")).distinct()
+    again = split.join(_mixed(split, "key"), "key")
+    blocks = F.ceil(F.col("n") * 2 / group).cast("int")
+    cut = again.withColumn("k", F.when(F.col("n") <= group, 1).otherwise(blocks)).withColumn("at", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("k")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "digest", "root", F.xxhash64("key", F.least("at", "with"), F.greatest("at", "with")).alias("key"))
+    dealt = stored(small.unionByName(cut))
+    fine = stored(finer(texts_of(dealt.select("digest"), docs, nodes), size))
+    dealt = dealt.join(nodes.select("digest", "registers"), "digest").join(fine, "digest")
+    least, fine_least = max(0.0, threshold - COARSE_SLACK), max(0.0, threshold - FINE_SLACK)
+    out = schema(("a", "binary"), ("b", "binary"))
+
+    def compare(table):
+        digests = table.column("digest").to_pylist()
+        _, root = np.unique(np.array([x.hex() for x in table.column("root").to_pylist()]), return_inverse=True)
+        signs = np.stack([np.frombuffer(x, "<u2") for x in table.column("registers").to_pylist()])
+        long = np.stack([np.frombuffer(x, np.uint8) for x in table.column("fine").to_pylist()])
+        a, b = [], []
+        for i in range(len(digests) - 1):
+            others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            others = others[(signs[others] == signs[i]).mean(axis=1) >= least]
+            for j in others[(long[others] == long[i]).mean(axis=1) >= fine_least].tolist():
+                a.append(min(digests[i], digests[j]))
+                b.append(max(digests[i], digests[j]))
+        return batch_table(out, [a, b])
+
+    return dealt.select("key", "digest", "root", "registers", "fine").groupBy("key").applyInArrow(compare, out).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, digest, class_id, class_size, exact_copies.
 
@@ -228,9 +317,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     """
     base = stored(sketch(docs, size, bands * rows, rows))
     nodes = stored(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies")))
-    pairs = stored(_likely(candidates(nodes), nodes, max(0.0, threshold - 0.22)))
-    edges = verified(pairs, docs, nodes, size, threshold)
-    roots = components(edges)
+    pairs = stored(_likely(candidates(nodes), nodes, max(0.0, threshold - COARSE_SLACK)))
+    roots = stored(components(verified(pairs, docs, nodes, size, threshold)))
+    rest = stored(unmet(docs, nodes, roots, size, threshold).join(pairs, ["a", "b"], "left_anti"))
+    links = stored(verified(rest, docs, nodes, size, threshold))
+    if links.limit(1).count():
+        # Links between classes: the classes they connect get one root.
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        merged = components(between.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        known = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = known.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti"))
     named = nodes.select("digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     members = named.join(classes, "root").select("digest", "class_id", "class_size", F.col("copies").alias("exact_copies"))

@@ -1,5 +1,6 @@
 """Operators that learn or estimate: held against brute force, or on parts held out."""
 
+import hashlib
 import math
 import random
 import re
@@ -137,6 +138,47 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {x.class_id for x in rows} == {0, 300}
 
 
+def passage_family(r):
+    """Pairs of near copies around one passage that all texts share, too little to make other pairs similar."""
+    passage, texts = prose(r, 150).split(), []
+    for _ in range(60):
+        own = prose(r, 60).split()
+        texts.append(" ".join(passage + own))
+        for _ in range(r.randint(0, 2)):
+            copy = list(own)
+            for at in r.sample(range(60), r.choice([1, 2, 3])):
+                copy[at] = r.choice(WORDS)
+            texts.append(" ".join(passage + copy))
+    return texts
+
+
+@pytest.mark.parametrize("group", [512, 24])
+def test_links_beside_the_leaders_of_a_bucket(spark, monkeypatch, group):
+    """Every text shares its buckets with all others, so that most links are between members that lead no bucket."""
+    monkeypatch.setattr(near_dedup.unmet, "__defaults__", (group,))
+    texts = passage_family(random.Random(12))
+    hasher = WordHasher()
+    sets = [near_dedup.weighted(t, hasher) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similarity(sets[i], sets[j]) >= 0.8]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    want = union_find(len(texts), links)
+    assert 1 < len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
+
+
+def test_unmet_pairs_of_one_bucket(spark):
+    """With no class known, all alike pairs of a bucket come out, however small the groups are."""
+    r = random.Random(13)
+    texts = passage_family(r)[:50]
+    docs = frame(spark, texts)
+    nodes = near_dedup.stored(near_dedup.sketch(docs))
+    roots = spark.createDataFrame([], "node binary, root binary")
+    whole, blocks = ({(bytes(x.a), bytes(x.b)) for x in near_dedup.unmet(docs, nodes, roots, 5, 0.8, g).collect()} for g in (512, 8))
+    hasher = WordHasher()
+    sets = {hashlib.md5(t.encode()).digest(): near_dedup.weighted(t, hasher) for t in texts}
+    alike = {(a, b) for a in sets for b in sets if a < b and near_dedup.similarity(sets[a], sets[b]) >= 0.8}
+    assert alike and alike <= blocks <= whole
+
+
 def test_near_duplicates_on_odd_tables(spark):
     docs = odd(spark)
     assert near_dedup.near_duplicates(docs).count() == docs.count()
