@@ -153,14 +153,13 @@ def passage_family(r):
 
 
 @pytest.mark.parametrize("group", [512, 24])
-def test_links_beside_the_leaders_of_a_bucket(spark, monkeypatch, group):
+def test_links_beside_the_leaders_of_a_bucket(spark, group):
     """Every text shares its buckets with all others, so that most links are between members that lead no bucket."""
-    monkeypatch.setattr(near_dedup.unmet, "__defaults__", (group,))
     texts = passage_family(random.Random(12))
     hasher = WordHasher()
     sets = [near_dedup.weighted(t, hasher) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similarity(sets[i], sets[j]) >= 0.8]
-    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, texts), group=group).collect()}
     want = union_find(len(texts), links)
     assert 1 < len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
 
@@ -172,11 +171,11 @@ def test_unmet_pairs_of_one_bucket(spark):
     docs = frame(spark, texts)
     nodes = near_dedup.stored(near_dedup.sketch(docs))
     roots = spark.createDataFrame([], "node binary, root binary")
-    whole, blocks = ({(bytes(x.a), bytes(x.b)) for x in near_dedup.unmet(docs, nodes, roots, 5, 0.8, g).collect()} for g in (512, 8))
+    whole, blocks, split = ({(bytes(x.a), bytes(x.b)) for x in near_dedup.unmet(docs, nodes, roots, 5, 0.8, group=g).collect()} for g in (512, 8, 2))
     hasher = WordHasher()
     sets = {hashlib.md5(t.encode()).digest(): near_dedup.weighted(t, hasher) for t in texts}
     alike = {(a, b) for a in sets for b in sets if a < b and near_dedup.similarity(sets[a], sets[b]) >= 0.8}
-    assert alike and alike <= blocks <= whole
+    assert alike and alike <= split and alike <= blocks == whole
 
 
 def test_near_duplicates_on_odd_tables(spark):
