@@ -108,12 +108,12 @@ _I = "greatest(0, least(x1, 45) - greatest(x0, 15)) * greatest(0, least(y1, 8) -
 @query(f"SELECT l_orderkey, l_linenumber, round((x1-x0)*(y1-y0) + 180 - i, 4) AS u, round(i, 4) AS i, round((x1-x0)*(y1-y0) - i, 4) AS d, round((x1-x0)*(y1-y0) + 180 - 2*i, 4) AS x FROM (SELECT *, {_I} AS i FROM {BOXES} WHERE l_linenumber = 2)")
 def st_set_operations(spark, d):
     w = geom_from_text("POLYGON((15 2,45 2,45 8,15 8,15 2))")
-    return boxes(spark, d).where("l_linenumber = 2").select("l_orderkey", "l_linenumber", *[F.round(st("st_area", st(f"st_{n}", "geometry", w)), 4).alias(a) for n, a in (("union", "u"), ("intersection", "i"), ("difference", "d"), ("symdifference", "x"))])
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", *[F.round(st("st_area", st(f"st_{n}", "geometry", w)), 4).alias(a) for n, a in (("union", "u"), ("intersection", "i"), ("difference", "d"), ("symdifference", "x"))])
 
 
 @query("SELECT c_custkey, 3.0::DOUBLE AS disc, 3::BIGINT AS kept FROM customer WHERE c_custkey % 3 = 0")
 def st_buffer_simplify(spark, d):
-    p = points(spark, d).where("c_custkey % 3 = 0")
+    p = points(spark, d)
     line = F.concat(F.lit("LINESTRING("), F.col("x"), F.lit(" 0,"), F.col("x") + 1, F.lit(" 0.01,"), F.col("x") + 2, F.lit(" 5,"), F.col("x") + 3, F.lit(" 10)"))
     kept = st("st_npoints", st("st_simplify", st("st_geomfromtext", line), 0.5))
     return p.select("c_custkey", F.round(st("st_area", st("st_buffer", st("st_point", F.col("x"), F.col("y")), 1))).alias("disc"), kept.alias("kept"))
