@@ -328,13 +328,13 @@ _SHARES = f"""(SELECT ix, iy, v, (least(x1, (ix+1)*7) - greatest(x0, ix*7)) * (l
 
 @query(f"SELECT ix, iy, round(sum(w*v), 2) AS value, round(sum(w), 6) AS count FROM {_SHARES} GROUP BY 1, 2")
 def grid_apportion_boxes(spark, d):
-    w = grid.box_weights(boxes(spark, d).where("l_linenumber < 3"), ("x0", "y0", "x1", "y1"), "l_extendedprice", 7.0, 3.0, "l_orderkey")
+    w = grid.box_weights(boxes(spark, d), ("x0", "y0", "x1", "y1"), "l_extendedprice", 7.0, 3.0, "l_orderkey")
     return grid.summarise(w, "sum", 7.0, 3.0).select("ix", "iy", F.round("value", 2).alias("value"), F.round("count", 6).alias("count"))
 
 
 @query(f"SELECT ix, iy, round(sum(w*v), 2) AS value, round(sum(w), 6) AS count FROM {_SHARES} GROUP BY 1, 2")
 def grid_apportion_polygons(spark, d):
-    w = grid.polygon_weights(boxes(spark, d).where("l_linenumber < 3"), "geometry", "l_extendedprice", 7.0, 3.0, "l_orderkey")
+    w = grid.polygon_weights(boxes(spark, d), "geometry", "l_extendedprice", 7.0, 3.0, "l_orderkey")
     return grid.summarise(w, "sum", 7.0, 3.0).select("ix", "iy", F.round("value", 2).alias("value"), F.round("count", 6).alias("count"))
 
 

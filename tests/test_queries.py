@@ -25,3 +25,26 @@ def test_set_operations_and_buffers_take_every_row(spark):
     assert [v for r in got for v in r] == pytest.approx([v for r in want for v in r], abs=1e-3)
     keys = pd.read_parquet(f"{SMALL}/customer.parquet").c_custkey
     assert sorted(map(tuple, queries.QUERIES["st_buffer_simplify"](spark, SMALL).collect())) == sorted((k, 3.0, 3) for k in keys)
+
+
+def deal(b, value):
+    """value and count by cell of 7 by 3, from every box."""
+    out = {}
+    for r in b.itertuples():
+        for ix in range(int(r.x0 // 7), int(r.x1 // 7) + 1):
+            for iy in range(int(r.y0 // 3), int(r.y1 // 3) + 1):
+                q = (min(r.x1, ix * 7 + 7) - max(r.x0, ix * 7)) * (min(r.y1, iy * 3 + 3) - max(r.y0, iy * 3))
+                if min(r.x1, ix * 7 + 7) > max(r.x0, ix * 7) and min(r.y1, iy * 3 + 3) > max(r.y0, iy * 3):
+                    w, cell = q / ((r.x1 - r.x0) * (r.y1 - r.y0)), out.setdefault((ix, iy), [0.0, 0.0])
+                    cell[0] += w * getattr(r, value)
+                    cell[1] += w
+    return out
+
+
+@pytest.mark.parametrize("name", ["grid_apportion_boxes", "grid_apportion_polygons"])
+def test_apportionment_deals_every_box(spark, name):
+    want = deal(boxes(), "l_extendedprice")
+    got = {(r.ix, r.iy): (r.value, r["count"]) for r in queries.QUERIES[name](spark, SMALL).collect()}
+    assert got.keys() == want.keys()
+    for cell, w in want.items():
+        assert got[cell] == pytest.approx(w, rel=1e-6, abs=0.02)
