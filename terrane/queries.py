@@ -471,7 +471,7 @@ def cogp_levels_points(spark, d):
 @query(f"SELECT round((SELECT count(*) FROM b a JOIN b c ON a.id <> c.id AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1) / (SELECT count(*) FROM b), 6) AS avg_overlaps FROM (SELECT 1)".replace("SELECT round(", f"WITH b AS (SELECT l_orderkey*10+l_linenumber AS id, x0, y0, x1, y1 FROM {BOXES} ORDER BY id LIMIT 1000) SELECT round(", 1))
 def bbox_overlap_metric(spark, d):
     b = boxes(spark, d).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return layout.overlap_metric(b, "x0", "y0", "x1", "y1", "id", most=1000).select(F.round("avg_overlaps", 6).alias("avg_overlaps"))
+    return layout.overlap_metric(b, "x0", "y0", "x1", "y1", "id").select(F.round("avg_overlaps", 6).alias("avg_overlaps"))
 
 
 @query("SELECT k AS part, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN NULL ELSE c_mktsegment || '/' || (c_custkey % 7)::VARCHAR END AS k FROM customer) GROUP BY 1")

@@ -48,3 +48,14 @@ def test_apportionment_deals_every_box(spark, name):
     assert got.keys() == want.keys()
     for cell, w in want.items():
         assert got[cell] == pytest.approx(w, rel=1e-6, abs=0.02)
+
+
+def test_overlap_metric_takes_4096_boxes(spark):
+    b = boxes()
+    b["id"] = b.l_orderkey * 10 + b.l_linenumber
+    b = b.sort_values("id").head(4096)
+    x0, y0, x1, y1 = (b[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    ids = b["id"].to_numpy()  # boxes of equal ids are not held against each other
+    met = sum(int(((x0 <= x1[i]) & (x0[i] <= x1) & (y0 <= y1[i]) & (y0[i] <= y1) & (ids != ids[i])).sum()) for i in range(len(b)))
+    got = queries.QUERIES["bbox_overlap_metric"](spark, SMALL).first()
+    assert len(b) == 4096 and got.avg_overlaps == pytest.approx(met / len(b), abs=1e-6)
