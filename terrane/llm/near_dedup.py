@@ -307,9 +307,10 @@ def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, thresh
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, group: int = GROUP) -> DataFrame:
-    """One row per row of docs: doc_id, digest, class_id, class_size, exact_copies.
+    """One row per row of docs: doc_id, digest, class_id, class_size, exact_copies, root.
 
-    class_id is the smallest doc_id of the class. Equal texts share a class
+    class_id is the smallest doc_id of the class, null where it has none; root, a digest,
+    tells classes apart also where ids are null or repeated. Equal texts share a class
     (null and empty texts are equal), texts without words are else alone, and
     texts of fewer than size words are one shingle. class_size and exact_copies
     count rows. Columns besides doc_id and text are ignored; an empty table
@@ -330,8 +331,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         roots = known.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti"))
     named = nodes.select("digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    members = named.join(classes, "root").select("digest", "class_id", "class_size", F.col("copies").alias("exact_copies"))
-    return base.select("doc_id", "digest").join(members, "digest").select("doc_id", "digest", "class_id", "class_size", "exact_copies")
+    members = named.join(classes, "root").select("digest", "class_id", "class_size", F.col("copies").alias("exact_copies"), "root")
+    return base.select("doc_id", "digest").join(members, "digest").select("doc_id", "digest", "class_id", "class_size", "exact_copies", "root")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -340,7 +341,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHO
     Rows without a doc_id stay if their class has no doc_id at all, one per class.
     """
     found = near_duplicates(docs, size, threshold)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("digest").alias("__digest")).withColumnRenamed("class_id", "__id")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("digest").alias("__digest"), F.first("doc_id").alias("__id")).drop("root")
     keyed = docs.withColumn("__key", _digest())
     kept = keyed.join(keep, (F.col("__key") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")

@@ -185,6 +185,13 @@ def test_near_duplicates_on_odd_tables(spark):
     assert near_dedup.one_of_each(docs).where("doc_id = 4").count() == 1
 
 
+def test_one_of_each_keeps_a_row_of_every_class_without_unique_ids(spark):
+    r = random.Random(21)
+    a, b, c, d, e = (prose(r, 60) for _ in range(5))
+    kept = near_dedup.one_of_each(frame(spark, [a, b, c, c, d, e, e], [None, None, None, None, 5, 5, 9])).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted([(0, a), (0, b), (0, c), (5, d), (5, e)])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(60).selectExpr("id as a", "id + 1 as b")
     roots = near_dedup.components(edges).collect()
