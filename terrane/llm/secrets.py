@@ -31,14 +31,14 @@ CONTEXT = 60  # characters on either side that a finding's features look at
 
 # issuers' formats, telling and innocent neighbouring words, and common words for coverage.
 ISSUERS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]{16,8000}?-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",  # up to _CLOSE, of any length
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"\bxox[abposr]-[A-Za-z0-9-]{10,}",
     "stripe_key": r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "json_web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "url_password": r"(?<=://)[^\s:/@\"']{1,64}:[^\s:/@\"']{4,128}(?=@)",
+    "url_password": r"(?<=://)[^\s:/@\"']+:[^\s:/@\"']{4,}(?=@)",
 }
 TELLING = "access api apikey auth authorization bearer client cred credential credentials key passphrase passwd password private pwd pw secret sign signature token".split()
 INNOCENT = (
@@ -58,12 +58,14 @@ WORDS = (
 
 _RUN = r"(?<![A-Za-z0-9+/_.=~-])[A-Za-z0-9+/_.=~-]{16,}"
 _ISSUED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ISSUERS.items()))
+_CLOSE = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _LONG = re.compile(_RUN)
 #: Strings one of which every issuer's format holds, so that most texts need no further look.
 _HINTS = ("-----BEGIN ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_test_", "AIza", "eyJ", "://")
 _SIGN = re.compile(r"[:=]")
 _NAME = re.compile(r"(?i)([a-z0-9_.-]*(?:%s)[a-z0-9_.-]*)[\"']?\s{0,3}\Z" % "|".join(sorted(TELLING, key=len, reverse=True)))
-_VALUE = re.compile(r"[:=]{1,2}\s{0,3}(?i:bearer\s+)?[\"']?([^\s\"'<>,;:=][^\s\"'<>,;]{5,255})")
+_VALUE = re.compile(r"[:=]{1,2}\s{0,3}(?i:bearer\s+)?[\"']?([^\s\"'<>,;:=][^\s\"'<>,;]{5})")  # how a value begins; it goes on to the end of _REST
+_REST = re.compile(r"[^\s\"'<>,;]*")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 _PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|your|example|sample|dummy|placeholder|changeme|todo|12345|abcdef|(.)\1{5,}|\$\{|<[a-z]")
@@ -86,16 +88,32 @@ def candidates(text: str) -> list[Finding]:
     """Proposed secrets in order, without overlaps: issuers' formats first, then assigned values, then long runs."""
     taken: list[Finding] = []
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= f.begin or a >= f.end for f in taken)
+    def gaps(a: int, b: int) -> list[tuple[int, int]]:
+        """What of a value no finding covers, in pieces that are long enough for values; none if its beginning is covered."""
+        met = sorted((f.begin, f.end) for f in taken if f.begin < b and f.end > a)
+        if met and met[0][0] <= a:
+            return []
+        ends = [a, *(x for f in met for x in f), b]
+        return [(x, y) for x, y in zip(ends[::2], ends[1::2]) if y - x >= 6]
 
     if any(h in text for h in _HINTS):
-        for m in _ISSUED.finditer(text):
-            taken.append(Finding(m.start(), m.end(), m.lastgroup))
+        at, closed = 0, True
+        while m := _ISSUED.search(text, at):
+            a, at = m.span()
+            if m.lastgroup == "private_key":
+                # Without an end after this beginning there is none after later ones either.
+                close = _CLOSE.search(text, at + 16) if closed else None
+                closed, at = close is not None, close.end() if close else a + 1
+                if not closed:
+                    continue
+            taken.append(Finding(a, at, m.lastgroup))
+    stop = 0
     for sign in _SIGN.finditer(text):
         i = sign.start()
-        if _NAME.search(text[max(0, i - 48) : i]) and (m := _VALUE.match(text, i)) and free(*m.span(1)):
-            taken.append(Finding(*m.span(1), "assigned"))
+        if _NAME.search(text[max(0, i - 48) : i]) and (m := _VALUE.match(text, i)):
+            a = m.start(1)
+            stop = stop if a < stop else _REST.match(text, a).end()
+            taken += [Finding(*piece, "assigned") for piece in gaps(a, stop)]
     known = {(f.begin, f.end) for f in taken}
     last = sorted(taken, key=lambda f: f.begin)
     at = 0
