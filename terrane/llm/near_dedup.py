@@ -264,23 +264,17 @@ def _mixed(members: DataFrame, key: str) -> DataFrame:
     return found.where((F.col("r0") != F.col("r1")) & (F.col("n") > 2)).select(key, "n")
 
 
-def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float, bands: int = BANDS, group: int = GROUP) -> DataFrame:
+def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float, group: int = GROUP) -> DataFrame:
     """Pairs (a, b) of digests that share a bucket but no class, and whose signatures do not rule the threshold out.
 
     Buckets of up to `group` members are compared in one group each. Larger ones are cut into blocks, and each pair
-    of blocks is a group, which makes a row of a member for each block. Where that would be more rows than a member has
-    other bands, the bucket is first split by every second band that members share, which similar texts do many times.
+    of blocks is a group, which makes a row of a member for each block.
     Pairs are made inside a group, and only those that agree leave it.
     """
     named = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "bands", F.coalesce("root", "digest").alias("root"))
     members = stored(named.where(F.size("bands") > 0).select("digest", "root", F.explode("bands").alias("band")))
     mixed = stored(_mixed(members, "band"))
-    limit = max(group, (bands - 1) * group // 2)
-    few = members.join(mixed.where(F.col("n") <= limit), "band").select("digest", "root", F.col("band").alias("key"), "n")
-    crowd = members.join(mixed.where(F.col("n") > limit), "band").select("digest", "root", "band")
-    split = crowd.join(named.select("digest", F.explode("bands").alias("other")), "digest").where("band <> other").select(
-        "digest", "root", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key")).distinct()
-    whole = few.unionByName(split.join(_mixed(split, "key"), "key").select("digest", "root", "key", "n"))
+    whole = members.join(mixed, "band").select("digest", "root", F.col("band").alias("key"), "n")
     cut = whole.withColumn("k", F.when(F.col("n") <= group, 1).otherwise(F.ceil(F.col("n") * 2 / group)).cast("int"))
     cut = cut.withColumn("at", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = stored(cut.select("digest", "root", F.xxhash64("key", F.least("at", "with"), F.greatest("at", "with")).alias("key")))
@@ -320,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     nodes = stored(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies")))
     pairs = stored(_likely(candidates(nodes), nodes, max(0.0, threshold - COARSE_SLACK)))
     roots = stored(components(verified(pairs, docs, nodes, size, threshold)))
-    rest = stored(unmet(docs, nodes, roots, size, threshold, bands, group).join(pairs, ["a", "b"], "left_anti"))
+    rest = stored(unmet(docs, nodes, roots, size, threshold, group).join(pairs, ["a", "b"], "left_anti"))
     links = stored(verified(rest, docs, nodes, size, threshold))
     if links.limit(1).count():
         # Links between classes: the classes they connect get one root.

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import language_model, near_dedup, secrets, toxicity
 from terrane.llm.common import WordHasher, content_words
@@ -178,6 +179,18 @@ def test_unmet_pairs_of_one_bucket(spark):
     assert alike and alike <= split and alike <= blocks == whole
 
 
+def test_unmet_pairs_of_a_large_bucket_without_second_bands(spark):
+    texts = passage_family(random.Random(13))[:40]
+    docs = frame(spark, texts)
+    nodes = near_dedup.stored(near_dedup.sketch(docs).withColumn("bands", F.array(F.lit(1).cast("bigint"))))
+    roots = spark.createDataFrame([], "node binary, root binary")
+    got = {(bytes(x.a), bytes(x.b)) for x in near_dedup.unmet(docs, nodes, roots, 5, 0.8, group=2).collect()}
+    hasher = WordHasher()
+    sets = {hashlib.md5(t.encode()).digest(): near_dedup.weighted(t, hasher) for t in texts}
+    alike = {(a, b) for a in sets for b in sets if a < b and near_dedup.similarity(sets[a], sets[b]) >= 0.8}
+    assert alike and alike <= got
+
+
 def test_near_duplicates_on_odd_tables(spark):
     docs = odd(spark)
     assert near_dedup.near_duplicates(docs).count() == docs.count()
