@@ -124,7 +124,7 @@ def read_partitioned(spark: SparkSession, path: str, columns: list[str]) -> Data
 def adaptive_split(df: DataFrame, x: Column, y: Column, side: float, target_rows: int, max_depth: int) -> DataFrame:
     """df with part: the largest square of a quadtree that holds at most target_rows rows, or one of max_depth. Null places have part null.
 
-    Only counts by cell reach the driver, at most MAX_PARTS of them.
+    Parts to be split are joined in Spark, however many there are.
     """
     path = lambda d: F.concat_ws("/", F.lit(d), F.floor(x / (side / 2**d)), F.floor(y / (side / 2**d)))
     rows = df.withColumn("part", F.when(x.isNotNull() & y.isNotNull(), path(0)))
@@ -132,7 +132,7 @@ def adaptive_split(df: DataFrame, x: Column, y: Column, side: float, target_rows
         big = rows.groupBy("part").count().where((F.col("count") > target_rows) & F.col("part").startswith(f"{d}/"))
         if big.limit(1).count() == 0:
             break
-        rows = rows.join(F.broadcast(big.select("part", F.lit(True).alias("__split")).limit(MAX_PARTS)), "part", "left").withColumn("part", F.when(F.col("__split"), path(d + 1)).otherwise(F.col("part"))).drop("__split")
+        rows = rows.join(big.select("part", F.lit(True).alias("__split")), "part", "left").withColumn("part", F.when(F.col("__split"), path(d + 1)).otherwise(F.col("part"))).drop("__split")
     return rows
 
 
@@ -244,7 +244,7 @@ def scorecard(path: str) -> dict:
     boxes = [g["box"] for g in groups if g["box"]]
     n = len(boxes)
     meets = sum(1 for i, a in enumerate(boxes[:4096]) for j, b in enumerate(boxes[:4096]) if i != j and a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3])
-    overlaps = meets / n if n else 0.0
+    overlaps = meets / min(n, 4096) if n else 0.0
     column = next(iter((groups[0]["geo"].get("columns") or {}).values()), {}) if groups else {}
     mean_rows = sum(g["rows"] for g in groups) / max(1, len(groups))
     small = len(groups) > 1 and mean_rows < 16_000 and max(g["bytes"] for g in groups) < 4 << 20

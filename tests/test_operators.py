@@ -213,3 +213,14 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["--input", "a.geojson"], ["--input", "a.geojson", "--output", "o", "--layer", "x"], ["--input", "a.geojson", "--output", "o", "--row-group-size", "0"]):
         with pytest.raises(SystemExit):
             cli.options(bad)
+
+
+def test_scorecard_and_split_beyond_4096(spark, monkeypatch):
+    group = {"file": "f", "rows": 1, "bytes": 1, "geo": {}, "box": (0.0, 0.0, 1.0, 1.0), "codec": "ZSTD", "indexed": True}
+    monkeypatch.setattr(layout, "footer", lambda path: [group] * 5000)
+    card = layout.scorecard("")
+    assert card["overlaps"] == 4095 and card["C2"] == "fail"
+    monkeypatch.setattr(layout, "MAX_PARTS", 2)
+    df = spark.range(400).selectExpr("(id % 4) * 2 + 0.5D as x", "0.5D as y")
+    parts = layout.adaptive_split(df, F.col("x"), F.col("y"), 8.0, 50, 3).groupBy("part").count().collect()
+    assert len(parts) == 4 and all(r.part.startswith("3/") for r in parts)
