@@ -150,7 +150,8 @@ def _table(frame: bytes, header: Header) -> dict:
 
 def parse(data: bytes) -> Stream:
     """What a stream holds. Bytes that are no frame are skipped to the next header whose frame ends at
-    another header or at the end; a stream without frames has no header and no duration."""
+    another header or at the end; a stream without frames has no header and no duration. A trailing ID3v1
+    tag is left out, unless its mark lies inside a frame."""
     out = Stream()
     out.tags, at = _tags(data)
     raw = np.frombuffer(data, np.uint8)
@@ -158,6 +159,8 @@ def parse(data: bytes) -> Stream:
     offsets, lengths, sync = [], [], True
     while at < end:
         head = header_at(data, at)
+        if head and end < at + head.length and (at + head.length == len(data) or header_at(data, at + head.length)):
+            end = len(data)
         if head and at + head.length <= end and (sync or at + head.length == end or header_at(data, at + head.length)):
             if not offsets and not out.table:
                 out.header, out.table = head, _table(data[at : at + head.length], head)

@@ -154,6 +154,17 @@ def brute(text, items, n=10):
     return len(words), len(hit), sorted(map(str, found))
 
 
+def test_audio_text_that_looks_like_an_end_tag():
+    for lead in (89, 192 + 89, 5 * 192 + 89):
+        raw = b"x" * lead + b"TAG" + b"y" * 40
+        data = mpeg_audio.write(raw)
+        s = mpeg_audio.parse(data)
+        assert len(s.offsets) == s.table["frames"] and mpeg_audio.payload_of(data, s) == mpeg_audio.padded(raw)
+    tagged = mpeg_audio.write(b"x" * 500) + b"TAG".ljust(128, b"\0")
+    s = mpeg_audio.parse(tagged)
+    assert (len(s.offsets), s.resyncs) == (3, 0) and mpeg_audio.payload_of(tagged, s) == mpeg_audio.padded(b"x" * 500)
+
+
 def test_decontamination_against_brute_force(spark, monkeypatch):
     r = random.Random(2)
     word = lambda: r.choice(["aa", "bb", "cc", "Dd", "éé", "1"])
