@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import batch_of, id_type, schema, stored, texts
+from terrane.llm.common import batch_of, id_type, map_batches, schema, slices, stored, texts
 from terrane.llm.token_encode import encoder
 
 #: Tokens whose pieces one group packs: some 500 windows, of which about the last stays open.
@@ -87,9 +87,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> D
         enc = encoder(tokenizer_path, end_id)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                ids, n = enc(rows.column(1).to_pylist())
+            for rows in slices(batch, 1):
+                ids, n = enc(rows.column(1))
                 flat = memoryview(ids.astype("<u4")).cast("B")
                 each = -(-n // size)
                 doc = np.repeat(np.arange(len(n)), each)
@@ -100,7 +99,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> D
                 yield batch_of(out, [rows.column(0).take(pa.array(doc)), row + doc, start, length, np.array(crc, np.int64), n[doc]])
                 row += len(n)
 
-    return texts(docs).mapInArrow(cut, out)
+    return map_batches(texts(docs), cut, out)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096, group_tokens: int = GROUP_TOKENS) -> DataFrame:

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import batch_of, block_count, id_type, schema, shared_dir, texts
+from terrane.llm.common import batch_of, block_count, id_type, map_batches, schema, shared_dir, slices, texts
 from terrane.llm.token_encode import encoder
 
 WRITER = {
     "compression": "snappy",
     "parquet.writer.version": "v2",  # ids that outgrow the dictionary are delta-packed
     "parquet.enable.dictionary": "true",
-    "parquet.block.size": str(32 << 20),
+    "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
@@ -48,9 +48,8 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
         part, start = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                ids, n = enc(rows.column(1).to_pylist())
+            for rows in slices(batch, 1):
+                ids, n = enc(rows.column(1))
                 stops = np.concatenate([[0], np.cumsum(n)])
                 yield batch_of(out, [
                     rows.column(0), np.full(len(n), part, np.int32), start + stops[:-1], n.astype(np.int32),
@@ -60,7 +59,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
 
     order = texts(docs).withColumn("tie", F.xxhash64("text"))
     ranged = order.repartitionByRange(block_count(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ranged.select("doc_id", "text").mapInArrow(encode, out).write.options(**WRITER).parquet(path)
+    map_batches(ranged.select("doc_id", "text"), encode, out).write.options(**WRITER).parquet(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +87,7 @@ def id_digests(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield batch_of(out, [batch.column(0), batch.column(1), np.diff(at) // 4, np.array(crc, np.int64)])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(digest, out)
+    return map_batches(rows.select("doc_id", "start", "ids"), digest, out)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
