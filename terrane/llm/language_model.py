@@ -11,53 +11,61 @@ p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k), down to the add-one estimate
 (c(w) + 1) / (N + V + 1), which leaves one share to all unknown words.
 
 The model grows with the corpus, so no task ever holds it. Documents are hashed
-into blocks; each block counts its own n-grams, counts meet in hash buckets,
-and each block gets back the counts of the n-grams it holds, from which it
-builds its slice of the automaton.
+into blocks of bounded bytes; each block counts its own n-grams, counts meet in hash buckets,
+whose number follows from the n-grams' bytes, and each block gets back the counts of the
+n-grams it holds, from which it builds its slice of the automaton.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BLOCK_BYTES, WordHasher, block_count, crc32_of_id, gram_hashes, id_type, schema, texts
+from terrane.llm.common import (
+    TOKEN_TABLE, batch_table, bounded_batches, crc32_of_id, gram_hashes, hash_pieces, id_type, release, schema, shuffle_partitions, text_bytes, texts, word_hashes,
+)
 
 ORDER = 2
 #: Weight of the lower order, in observations.
 CONCENTRATION = 100.0
+#: Bytes of text that one block holds, and bytes of text whose n-grams one bucket merges.
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
+
 
-_START, _END = b" start", b" end"  # no word holds a blank
+def _mark(word: bytes) -> np.uint64:
+    return hash_pieces(np.frombuffer(word, np.uint8), np.array([len(word)]))[0]
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Words between ASCII white space with A-Z lower-cased, and the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(_END)
-    return words
+_START, _END = _mark(b" start"), _mark(b" end")  # no word holds a blank
 
 
 class Stream:
-    """The texts of a block one after another: each text's tokens after order - 1 starts (one at least)."""
+    """The texts of a block one after another: each text's tokens after order - 1 starts (one at least).
 
-    def __init__(self, texts: list[str], order: int, hasher: WordHasher):
-        lead = [_START] * max(1, order - 1)
+    Tokens are the words between ASCII white space with A-Z lower-cased, and one end a text.
+    """
+
+    def __init__(self, strings: pa.Array, order: int):
+        lead = max(1, order - 1)
         self.order = order
-        parts, self.counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = tokens_of(text)
-            self.counts[i] = len(words)
-            parts.append(hasher(lead + words))
-        self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        stops = np.cumsum(self.counts + len(lead))
+        words, first = word_hashes(strings, TOKEN_TABLE)
+        n = len(first) - 1
+        self.counts = np.diff(first) + 1
+        stops = np.cumsum(self.counts + lead)
         self.last_start = stops - self.counts - 1
+        self.hashes = np.full(int(stops[-1]) if n else 0, _START, np.uint64)
+        self.hashes[np.arange(len(words)) + np.repeat(np.arange(n) * (lead + 1) + lead, self.counts - 1)] = words
+        self.hashes[stops - 1] = _END
         real = np.ones(len(self.hashes), bool)
-        for i in range(len(lead)):
+        for i in range(lead):
             real[self.last_start - i] = False
         self.ends = np.flatnonzero(real)  # positions of tokens that are predicted
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), self.counts)
 
     def table(self, k: int, train: np.ndarray) -> Table:
         """The k-grams that end at predicted tokens.
@@ -111,7 +119,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 def start_key() -> np.uint64:
     """The unigram key of a start, which is no token."""
-    return gram_hashes(WordHasher()([_START]), 1)[0]
+    return gram_hashes(np.array([_START]), 1)[0]
 
 
 class Automaton:
@@ -143,35 +151,55 @@ class Automaton:
     def known(self) -> np.ndarray:
         return self.tables[1].counts[self.tables[1].number[self.stream.ends]]
 
+    def states(self) -> np.ndarray:
+        """The state after each position: how many of its last words the longest run of them that is a context has; 0 is the root."""
+        state = np.zeros(len(self.stream.hashes), np.int8)
+        for k in range(1, self.order):
+            table = self.tables[k]
+            if len(table.keys):
+                state[table.counts[table.number] > 0] = k
+        return state
+
     def traverse(self) -> np.ndarray:
         """The weight of each token: that of the failure arcs followed for it and of the arc taken.
 
-        The state before a token is the longest known run of words before it, so that all tokens
-        of a block are walked through at once, level by level.
+        A token is read in the state that the tokens before it have led to. As a state is a run of
+        words, all states of a block are known at once, and its tokens fall from level to level together.
         """
-        weight = np.zeros(len(self.stream.ends))
+        ends, weight = self.stream.ends, np.zeros(len(self.stream.ends))
+        state = self.states()[ends - 1]
         pending = np.arange(len(weight))
         for k in range(self.order, 1, -1):
-            at = self.stream.ends[pending]
-            arc = self.arcs[k][self.tables[k].number[at]] if len(self.arcs[k]) else np.full(len(at), np.nan)
+            here = pending[state[pending] == k - 1]
+            arc = self.arcs[k][self.tables[k].number[ends[here]]]
             missing = np.isnan(arc)
-            weight[pending[~missing]] += arc[~missing]
-            pending, at = pending[missing], at[missing]
-            weight[pending] += self.failures[k - 1][self.tables[k - 1].number[at - 1]]
-        weight[pending] += self.root[self.tables[1].number[self.stream.ends[pending]]]
+            weight[here[~missing]] += arc[~missing]
+            failed = here[missing]
+            weight[failed] += self.failures[k - 1][self.tables[k - 1].number[ends[failed] - 1]]
+            state[failed] = k - 2
+            state[here[~missing]] = -1
+            pending = pending[state[pending] >= 0]
+        weight[pending] += self.root[self.tables[1].number[ends[pending]]]
         return weight
 
 
-def _segments(buckets: int, order: int, columns: list[str]):
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        stream = Stream(pdf["text"].tolist(), order, WordHasher())
-        train = pdf["train"].to_numpy(bool)
-        block, rows = int(pdf["block"].iloc[0]), []
+def _column(table: pa.Table, name: str) -> pa.Array:
+    """A column in one piece."""
+    return pa.concat_arrays([c for c in table.column(name).chunks] or [pa.array([], table.schema.field(name).type)])
+
+
+def _segments(buckets: int, order: int, out):
+    def count(table: pa.Table) -> pa.Table:
+        stream = Stream(_column(table, "text"), order)
+        train = _column(table, "train").to_numpy(zero_copy_only=False)
+        block, rows = table.column("block")[0].as_py(), []
         for k in range(1, order + 1):
-            table = stream.table(k, train)
-            for bucket, part in table.parts(buckets):
-                rows.append((block, k, bucket, pack_keys(table.keys[part]), pack_counts(table.counts[part])))
-        return pd.DataFrame(rows, columns=columns)
+            grams = stream.table(k, train)
+            for bucket, part in grams.parts(buckets):
+                rows.append((block, k, bucket, pack_keys(grams.keys[part]), pack_counts(grams.counts[part])))
+        del stream, grams
+        release()
+        return batch_table(out, list(map(list, zip(*rows))) if rows else [[] for _ in out])
 
     return count
 
@@ -198,58 +226,68 @@ def _merge(columns: list[str]):
                 if other.any():
                     rows.append((block, k, bucket, np.packbits(other).tobytes(), pack_counts(all_counts[other]), 0, 0))
         rows.append((-1, 0, bucket, b"", b"", tokens, types))
+        release()
         return pd.DataFrame(rows, columns=columns)
 
     return merge
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, concentration: float = CONCENTRATION, held_out: tuple[int, int] = (7, 2), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(
+    docs: DataFrame, order: int = ORDER, concentration: float = CONCENTRATION, held_out: tuple[int, int] = (7, 2), block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows whose crc32(doc_id as text) mod held_out[0]
     is not held_out[1]. A null or empty text is the end alone. With nothing to
     learn from every token has probability 1. Repeated rows are learnt from and
-    scored each. Columns besides doc_id and text are ignored; an empty table
-    gives no rows.
+    scored each, those of different input partitions in different blocks. Columns besides
+    doc_id and text are ignored; an empty table gives no rows.
     """
-    blocks = block_count(docs, block_bytes)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    size, least = text_bytes(docs), shuffle_partitions(spark)
+    blocks, buckets = max(least, math.ceil(size / block_bytes)), max(least, math.ceil(size / bucket_bytes))
     rows = texts(docs).select(
         "doc_id", "text",
         (crc32_of_id() % held_out[0] == held_out[1]).alias("held_out"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int").alias("block"),
     ).withColumn("train", ~F.col("held_out"))
     # One exchange of the texts, which counting and scoring share.
     dealt = rows.repartition("block")
     parts = schema(("block", "int"), ("k", "int"), ("bucket", "int"), ("grams", "binary"), ("counts", "binary"))
-    segments = dealt.groupBy("block").applyInPandas(_segments(blocks, order, parts.names), parts)
+    segments = dealt.groupBy("block").applyInArrow(_segments(buckets, order, parts), parts)
     slices = schema(("block", "int"), ("k", "int"), ("bucket", "int"), ("which", "binary"), ("totals", "binary"), ("tokens", "long"), ("types", "long"))
     merged = segments.groupBy("bucket").applyInPandas(_merge(slices.names), slices)
-    size = merged.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))
-    known = dealt.crossJoin(F.broadcast(size))  # a single row
+    total = merged.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))
+    known = dealt.crossJoin(F.broadcast(total))  # a single row
     out = schema(
         ("doc_id", id_type(docs)), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"),
     )
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return pd.DataFrame({f.name: [] for f in out})
-        stream = Stream(left["text"].tolist(), order, WordHasher())
-        answers = {(k, b): (which, totals) for k, b, which, totals in zip(right["k"], right["bucket"], right["which"], right["totals"])}
+            return batch_table(out, [[] for _ in out])
+        stream = Stream(_column(left, "text"), order)
+        answers = {(k, b): i for i, (k, b) in enumerate(zip(right.column("k").to_pylist(), right.column("bucket").to_pylist()))}
+        train = _column(left, "train").to_numpy(zero_copy_only=False)
         tables = {}
         for k in range(1, order + 1):
-            tables[k] = table = stream.table(k, left["train"].to_numpy(bool))
-            for bucket, part in table.parts(blocks):
-                if (k, bucket) in answers:
-                    which, totals = answers.pop((k, bucket))
+            tables[k] = table = stream.table(k, train)
+            for bucket, part in table.parts(buckets):
+                if (i := answers.get((k, bucket))) is not None:
                     counts = table.counts[part]
-                    counts[np.unpackbits(np.frombuffer(which, np.uint8), count=len(counts)).astype(bool)] = unpack_counts(totals)
-        tokens, types = int(left["tokens"].iloc[0]), int(left["types"].iloc[0])
+                    other = np.unpackbits(np.frombuffer(right.column("which")[i].as_buffer(), np.uint8), count=len(counts)).astype(bool)
+                    counts[other] = unpack_counts(right.column("totals")[i].as_py())
+        tokens, types = left.column("tokens")[0].as_py(), left.column("types")[0].as_py()
         model = Automaton(stream, tables, tokens, types, concentration)
         by = lambda x: np.bincount(stream.owner, weights=x, minlength=len(left))
-        return pd.DataFrame({
-            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": stream.counts, "n_known": by(model.known() > 0).astype(np.int64),
-            "train_tokens": tokens, "base_score": by(model.root[tables[1].number[stream.ends]]), "score": by(model.traverse()),
-        })
+        done = batch_table(out, [
+            _column(left, "doc_id"), _column(left, "held_out"), stream.counts, by(model.known() > 0).astype(np.int64),
+            np.full(len(left), tokens, np.int64), by(model.root[tables[1].number[stream.ends]]), by(model.traverse()),
+        ])
+        del stream, tables, model
+        release()
+        return done
 
     answers = merged.where("block >= 0").select("block", "k", "bucket", "which", "totals")
-    return known.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, out)
+    return known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out)
