@@ -10,17 +10,19 @@ give candidate pairs, which are verified on the shingles themselves.
 Within a band's bucket each document is first held against a few leaders of
 the bucket, so that work grows with the rows of a bucket. Verified links are
 closed into classes. Only buckets that still hold several classes can hide a
-further link; there members of different classes are compared, by registers
-within groups of bounded size, and what looks alike is verified as before.
+further link; there members of different classes are compared within groups of
+bounded size, by registers and then on their texts, and a group gives only the links
+that connect what it had not connected before.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import WordHasher, batch_of, batch_table, content_words, gram_hashes, id_type, mix64, schema, stored
+from terrane.llm.common import Words, batch_of, batch_table, bounded_batches, discard, gram_hashes, id_type, map_batches, mix64, release, schema, slices, stored, string_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -28,8 +30,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: How far below the threshold the agreement of two documents' registers may be for them to be verified.
 COARSE_SLACK = 0.22
-#: Members that one task compares with each other; larger buckets are split first.
-GROUP = 1024
+#: Members, and bytes of their texts, that one task compares with each other; larger buckets are split first.
+GROUP, GROUP_BYTES = 1024, 32 << 20
 #: Registers of the finer signatures of documents in buckets of several classes, and how far below the threshold
 #: their agreement may be: four standard deviations of the estimate.
 FINE, FINE_SLACK = 1024, 0.05
@@ -102,8 +104,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / total).sum())
 
 
-def weighted(text: str, hasher: WordHasher, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingles(hasher(content_words(text)), size), return_counts=True)
+def weighted(texts: pa.Array, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, ascending, and how often each occurs."""
+    out = []
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, 1 << 20):
+        words = Words(part.column(0))
+        out += [np.unique(shingles(words.of(i), size), return_counts=True) for i in range(part.num_rows)]
+    return out
 
 
 def _digest(column="text"):
@@ -111,15 +118,13 @@ def _digest(column="text"):
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the text and bands, a hash for each run of registers; none for texts without words."""
-    out = schema(("doc_id", id_type(docs)), ("digest", "binary"), ("bands", "array<long>"), ("registers", "binary"))
+    """doc_id, digest and bytes of the text, and bands, a hash for each run of registers; none for texts without words."""
+    out = schema(("doc_id", id_type(docs)), ("digest", "binary"), ("bytes", "long"), ("bands", "array<long>"), ("registers", "binary"))
 
     def hashed(batches):
-        hasher = WordHasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [weighted(t, hasher, size) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1, 1 << 20, 500):
+                sets = weighted(part.column(1), size)
                 signs = signatures(sets, registers)
                 full = [len(e) > 0 for e, _ in sets]
                 keys = signs.reshape(len(sets), registers // rows, rows)
@@ -129,11 +134,11 @@ def sketch(docs: DataFrame, size: int = SHINGLE, registers: int = REGISTERS, row
                 bands = mix64(bands + np.arange(registers // rows, dtype=np.uint64)).view(np.int64)
                 low = (signs & np.uint64(0xFFFF)).astype("<u2")
                 yield batch_of(out, [
-                    part.column(0), part.column(2),
+                    part.column(0), part.column(2), np.diff(string_bytes(part.column(1))[1]),
                     [b if f else [] for b, f in zip(bands, full)], [s.tobytes() if f else b"" for s, f in zip(low, full)],
                 ])
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), _digest().alias("digest")).mapInArrow(hashed, out)
+    return map_batches(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), _digest().alias("digest")), hashed, out)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -161,13 +166,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     out = schema(("a", "binary"), ("b", "binary"))
 
     def agree(batches):
-        import pyarrow as pa
-
         for batch in batches:
             keep = [(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean() >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ra", "rb").mapInArrow(agree, out)
+    return map_batches(both.select("a", "b", "ra", "rb"), agree, out)
 
 
 def texts_of(digests: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -183,14 +186,12 @@ def finer(texts: DataFrame, size: int, registers: int = FINE) -> DataFrame:
     out = schema(("digest", "binary"), ("fine", "binary"))
 
     def hashed(batches):
-        hasher = WordHasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                signs = signatures([weighted(t, hasher, size) for t in part.column(1).to_pylist()], registers)
+            for part in slices(batch, 1, 1 << 20, 200):
+                signs = signatures(weighted(part.column(1), size), registers)
                 yield batch_of(out, [part.column(0), [s.tobytes() for s in (signs & np.uint64(0xFF)).astype(np.uint8)]])
 
-    return texts.select("digest", "text").mapInArrow(hashed, out)
+    return map_batches(texts.select("digest", "text"), hashed, out)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -204,30 +205,20 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, thr
     out = schema(("a", "binary"), ("b", "binary"))
 
     def check(batches):
-        import pyarrow as pa
-
-        hasher = WordHasher()
         sets: dict[bytes, tuple] = {}
-        held = 0
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                two = []
-                for c in (0, 1):
-                    digest = batch.column(c)[i].as_py()
-                    found = sets.get(digest)
-                    if found is None:
-                        found = weighted(batch.column(c + 2)[i].as_py(), hasher, size)
-                        if held + len(found[0]) > REMEMBERED:
-                            sets.clear()
-                            held = 0
-                        sets[digest] = found
-                        held += len(found[0])
-                    two.append(found)
-                keep.append(similarity(*two) >= threshold)
+            if sum(len(e) for e, _ in sets.values()) > REMEMBERED:
+                sets.clear()
+            for c in (0, 1):
+                new = {d: i for i, d in enumerate(batch.column(c).to_pylist()) if d not in sets}
+                if new:
+                    sets.update(zip(new, weighted(batch.column(c + 2).take(pa.array(list(new.values()))), size)))
+            keep = [similarity(sets[a], sets[b]) >= threshold for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, out)
+    links = stored(map_batches(both.select("a", "b", "ta", "tb"), check, out))
+    discard(texts)
+    return links
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -249,7 +240,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stored(small)
+        before, now = now, stored(small)
+        discard(before)
         last, mark = mark, print_of(now)
         if mark == last:
             break
@@ -258,28 +250,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _mixed(members: DataFrame, key: str) -> DataFrame:
-    """key and n of the buckets whose members are of more than one class; two members have met as leaders."""
-    found = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    return found.where((F.col("r0") != F.col("r1")) & (F.col("n") > 2)).select(key, "n")
+def _mixed(members: DataFrame) -> DataFrame:
+    """band, n and bytes of the buckets whose members are of more than one class; two members have met as leaders."""
+    found = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return found.where((F.col("r0") != F.col("r1")) & (F.col("n") > 2)).select("band", "n", F.col("bytes").alias("in_all"))
 
 
-def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float, group: int = GROUP) -> DataFrame:
-    """Pairs (a, b) of digests that share a bucket but no class, and whose signatures do not rule the threshold out.
+def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Links (a, b) between digests that share a bucket but no class and are similar to at least the threshold.
 
-    Buckets of up to `group` members are compared in one group each. Larger ones are cut into blocks, and each pair
-    of blocks is a group, which makes a row of a member for each block.
-    Pairs are made inside a group, and only those that agree leave it.
+    Buckets of up to `group` members and group_bytes of text are compared in one group each. Larger ones are cut
+    into blocks, and each pair of blocks is a group, which makes a row of a member for each block.
+    A pair is made inside a group only: signatures that do not rule it out send it to verification there,
+    unless links found in the group connect it already. So a group gives fewer links than it has members.
     """
-    named = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "bands", F.coalesce("root", "digest").alias("root"))
-    members = stored(named.where(F.size("bands") > 0).select("digest", "root", F.explode("bands").alias("band")))
-    mixed = stored(_mixed(members, "band"))
-    whole = members.join(mixed, "band").select("digest", "root", F.col("band").alias("key"), "n")
-    cut = whole.withColumn("k", F.when(F.col("n") <= group, 1).otherwise(F.ceil(F.col("n") * 2 / group)).cast("int"))
+    named = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "bands", "bytes", F.coalesce("root", "digest").alias("root"))
+    members = stored(named.where(F.size("bands") > 0).select("digest", "root", "bytes", F.explode("bands").alias("band")))
+    whole = members.join(_mixed(members), "band")
+    blocks = F.greatest(F.ceil(F.col("n") * 2 / group), F.ceil(F.col("in_all") * 2 / group_bytes))
+    cut = whole.withColumn("k", F.when((F.col("n") <= group) & (F.col("in_all") <= group_bytes), 1).otherwise(blocks).cast("int"))
     cut = cut.withColumn("at", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = stored(cut.select("digest", "root", F.xxhash64("key", F.least("at", "with"), F.greatest("at", "with")).alias("key")))
-    fine = stored(finer(texts_of(dealt.select("digest"), docs, nodes), size))
-    dealt = dealt.join(nodes.select("digest", "registers"), "digest").join(fine, "digest")
+    dealt = stored(cut.select("digest", "root", F.xxhash64("band", F.least("at", "with"), F.greatest("at", "with")).alias("key")))
+    texts = stored(texts_of(dealt.select("digest"), docs, nodes))
+    fine = stored(finer(texts, size))
+    full = dealt.join(nodes.select("digest", "registers").join(fine, "digest").join(texts, "digest"), "digest")
     least, fine_least = max(0.0, threshold - COARSE_SLACK), max(0.0, threshold - FINE_SLACK)
     out = schema(("a", "binary"), ("b", "binary"))
 
@@ -288,16 +282,26 @@ def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, thresh
         _, root = np.unique(np.array([x.hex() for x in table.column("root").to_pylist()]), return_inverse=True)
         signs = np.stack([np.frombuffer(x, "<u2") for x in table.column("registers").to_pylist()])
         long = np.stack([np.frombuffer(x, np.uint8) for x in table.column("fine").to_pylist()])
+        words = table.column("text")
+        sets: dict[int, tuple] = {}
+        of = lambda i: sets[i] if i in sets else sets.setdefault(i, weighted(pa.array([words[i].as_py()], pa.string()), size)[0])
         a, b = [], []
         for i in range(len(digests) - 1):
             others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
             others = others[(signs[others] == signs[i]).mean(axis=1) >= least]
             for j in others[(long[others] == long[i]).mean(axis=1) >= fine_least].tolist():
-                a.append(min(digests[i], digests[j]))
-                b.append(max(digests[i], digests[j]))
+                if root[i] != root[j] and similarity(of(i), of(j)) >= threshold:
+                    a.append(digests[i])
+                    b.append(digests[j])
+                    root[root == root[j]] = root[i]  # one class from now on
+        del sets
+        release()
         return batch_table(out, [a, b])
 
-    return dealt.select("key", "digest", "root", "registers", "fine").groupBy("key").applyInArrow(compare, out).distinct()
+    bounded_batches(docs.sparkSession)
+    links = stored(full.select("key", "digest", "root", "registers", "fine", "text").groupBy("key").applyInArrow(compare, out).distinct())
+    discard(members, dealt, texts, fine)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, group: int = GROUP) -> DataFrame:
@@ -311,11 +315,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     gives no rows.
     """
     base = stored(sketch(docs, size, bands * rows, rows))
-    nodes = stored(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies")))
+    nodes = stored(base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")))
     pairs = stored(_likely(candidates(nodes), nodes, max(0.0, threshold - COARSE_SLACK)))
-    roots = stored(components(verified(pairs, docs, nodes, size, threshold)))
-    rest = stored(unmet(docs, nodes, roots, size, threshold, group).join(pairs, ["a", "b"], "left_anti"))
-    links = stored(verified(rest, docs, nodes, size, threshold))
+    found = verified(pairs, docs, nodes, size, threshold)
+    roots = stored(components(found))
+    discard(pairs, found)
+    links = unmet(docs, nodes, roots, size, threshold, group)
     if links.limit(1).count():
         # Links between classes: the classes they connect get one root.
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
