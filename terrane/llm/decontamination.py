@@ -11,17 +11,18 @@ if its words are equal.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import WordHasher, batch_of, content_words, gram_hashes, id_type, schema, texts
+from terrane.llm.common import Words, batch_of, gram_hashes, id_type, map_batches, schema, slices, texts
 
-#: Bytes of benchmark text that one pass over the documents takes along; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one pass over the documents takes along, as an index of some five bytes
+#: for each; a larger benchmark takes several passes.
+BLOCK_BYTES = 8 << 20
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -41,27 +42,39 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Windows of a block of benchmark items. Holds words, so that hits can be held against them."""
+    """Windows of a block of benchmark items, by hash. Holds the items' words, so that hits can be held against them.
+
+    windows: for each length of a window the ascending hashes and where, among all words, each window begins.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int, k: int):
         self.n, self.k, self.winnow = n, k, n - k + 1
-        self.items: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        hasher, by_length, prints = WordHasher(), defaultdict(list), []
-        for item_id, text in items:
-            words = content_words(text)
-            if not words:
-                continue
-            length = min(n, len(words))
-            hashes = hasher(words)
-            for i in range(len(words) - length + 1):
-                self.items[tuple(words[i : i + length])].add(item_id)
-            by_length[length].append(gram_hashes(hashes, length))
+        self.ids = [item_id for item_id, _ in items]
+        self.words = words = Words(pa.array([text for _, text in items], pa.string()))
+        counts = np.diff(words.first)
+        prints = [np.zeros(0, np.uint64)]
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in np.unique(np.minimum(counts, n)[counts > 0]).tolist():
+            which = np.flatnonzero(counts >= n if length == n else counts == length)
+            each = counts[which] - length + 1
+            starts = np.repeat(words.first[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            keys = gram_hashes(words.hashes, length)[starts]
+            order = np.argsort(keys, kind="stable")
+            self.windows[length] = keys[order], starts[order].astype(np.int32)
             if length == n:
-                grams = gram_hashes(hashes, k)
-                prints.append(grams[winnow(grams, self.winnow)])
-        self.windows = {length: np.unique(np.concatenate(x)) for length, x in by_length.items()}
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.items = dict(self.items)
+                for i in which.tolist():
+                    grams = gram_hashes(words.of(i), k)
+                    prints.append(grams[winnow(grams, self.winnow)])
+        self.prints = np.unique(np.concatenate(prints))
+        words.hashes, words.ends = np.zeros(0, np.uint64), words.ends.astype(np.int32)
+
+    def owners(self, words: Words, start: int, length: int, key: np.uint64) -> set[str]:
+        """The items that hold the window of a document's words, whose hash is key."""
+        keys, starts = self.windows[length]
+        among = starts[np.searchsorted(keys, key) : np.searchsorted(keys, key, side="right")]
+        same = words.bytes_of(start, start + length)
+        among = [at for at in among.tolist() if self.words.bytes_of(at, at + length) == same]
+        return {self.ids[i] for i in (np.searchsorted(self.words.first, among, side="right") - 1).tolist()}
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -72,8 +85,8 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def candidates(hashes: np.ndarray, index: Index) -> list[tuple[int, int]]:
-    """(start, length) of a document's windows whose hash is one of the benchmark's."""
+def candidates(hashes: np.ndarray, index: Index) -> list[tuple[int, int, np.uint64]]:
+    """(start, length, hash) of a document's windows whose hash is one of the benchmark's."""
     found = []
     if len(index.prints) and len(hashes) >= index.n:
         grams = gram_hashes(hashes, index.k)
@@ -82,31 +95,31 @@ def candidates(hashes: np.ndarray, index: Index) -> list[tuple[int, int]]:
         if len(prints):
             starts = np.unique(np.concatenate([prints - i for i in range(index.winnow)]))
             starts = starts[(starts >= 0) & (starts + index.n <= len(hashes))]
-            around = np.stack([hashes[starts + i] for i in range(index.n)], axis=1) if len(starts) else np.zeros((0, index.n), np.uint64)
-            windows = np.array([gram_hashes(row, index.n)[0] for row in around], np.uint64)
-            found += [(s, index.n) for s in starts[_among(windows, index.windows[index.n])].tolist()]
-    for length, table in index.windows.items():
+            windows = gram_hashes(hashes, index.n)[starts]
+            hit = _among(windows, index.windows[index.n][0])
+            found += [(s, index.n, w) for s, w in zip(starts[hit].tolist(), windows[hit])]
+    for length, (table, _) in index.windows.items():
         if length < index.n:  # items shorter than a window have no full span to leave a fingerprint
-            found += [(s, length) for s in np.flatnonzero(_among(gram_hashes(hashes, length), table)).tolist()]
+            grams = gram_hashes(hashes, length)
+            found += [(s, length, grams[s]) for s in np.flatnonzero(_among(grams, table)).tolist()]
     return found
 
 
-def _hits(text: str, hasher: WordHasher, index: Index) -> tuple[int, list[tuple[int, int]], set[str]]:
-    words = content_words(text)
-    spans, items = [], set()
-    if words and index.windows:
-        for start, length in candidates(hasher(words), index):
-            owners = index.items.get(tuple(words[start : start + length]))
-            if owners:
-                spans.append((start, start + length))
-                items |= owners
+def _hits(words: Words, text: int, index: Index) -> tuple[list[tuple[int, int]], set[str]]:
+    """The word ranges of a text that are hit, and the items whose windows occur there."""
+    spans, items, first = [], set(), int(words.first[text])
+    for start, length, key in candidates(words.of(text), index):
+        owners = index.owners(words, first + start, length, key)
+        if owners:
+            spans.append((start, start + length))
+            items |= owners
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return len(words), merged, items
+    return merged, items
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int | None = None):
@@ -137,17 +150,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 6
         shared = spark.sparkContext.broadcast(Index(items, n, k))
 
         def scan(batches, shared=shared):
-            hasher = WordHasher()
             for batch in batches:
-                ids, counts, spans, items = batch.column(0), [], [], []
-                for text in batch.column(1).to_pylist():
-                    count, hit, owners = _hits(text, hasher, shared.value)
-                    counts.append(count)
-                    spans.append([{"begin": a, "end": b} for a, b in hit])
-                    items.append(sorted(owners))
-                yield batch_of(out, [ids, batch.column(2), np.array(counts, np.int64), spans, items])
-
-        part = rows.mapInArrow(scan, out)
+                for part in slices(batch, 1, 1 << 20):
+                    words = Words(part.column(1))
+                    hits = [_hits(words, i, shared.value) for i in range(part.num_rows)]
+                    yield batch_of(out, [
+                        part.column(0), part.column(2), np.diff(words.first),
+                        [[{"begin": a, "end": b} for a, b in spans] for spans, _ in hits], [sorted(items) for _, items in hits],
+                    ])
+
+        part = map_batches(rows, scan, out)
         passes = part if passes is None else passes.unionByName(part)
         blocks += 1
     if blocks > 1:
@@ -181,23 +193,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 6
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield batch_of(out, [batch.column(0), batch.column(1), np.array(hit, np.int64), np.array([len(x) for x in items], np.int64), sha, [h > 0 for h in hit]])
 
-    return found.select("doc_id", "n_words", "spans", "item_ids").mapInArrow(sums, out)
+    return map_batches(found.select("doc_id", "n_words", "spans", "item_ids"), sums, out)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 6) -> DataFrame:
-    """The documents of which no n-word window is in the benchmark, with all their columns."""
+    """The documents of which no n-word window is in the benchmark, with all their columns.
+
+    Null and empty texts stay, and so does every row of an empty benchmark's table; repeated rows are judged each.
+    """
     spark, kind = docs.sparkSession, T.StructType(docs.schema.fields)
     at = docs.columns.index("text")
     for items in benchmark_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(items, n, k))
 
         def keep(batches, shared=shared):
-            import pyarrow as pa
-
-            hasher = WordHasher()
             for batch in batches:
-                clean = [t is None or not _hits(t, hasher, shared.value)[1] for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for part in slices(batch, at, 1 << 20):
+                    text = part.column(at)
+                    words = Words(text.fill_null("") if text.null_count else text)
+                    yield part.filter(pa.array([not _hits(words, i, shared.value)[0] for i in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, kind)
+        docs = map_batches(docs, keep, kind)
     return docs

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import batch_of, id_type, schema
+from terrane.llm.common import batch_of, id_type, map_batches, schema
 
 # Fixed values of HTML: elements without content, with raw text, that begin blocks, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -323,4 +323,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             text = [main_text(h) for h in batch.column(2).to_pylist()]
             yield batch_of(out, [batch.column(0), batch.column(1), text, [len(t) for t in text]])
 
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(extract, out)
+    return map_batches(pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), extract, out)

@@ -21,7 +21,7 @@ from fractions import Fraction
 import numpy as np
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import batch_of, id_type, schema, stored, texts
+from terrane.llm.common import batch_of, id_type, map_batches, schema, slices, stored, texts
 
 UNIT = 192  # payload bytes a frame
 
@@ -252,11 +252,10 @@ def text_media(docs: DataFrame) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for rows in slices(batch, 1, rows=500):
                 yield batch_of(out, [rows.column(0), [write(t.encode("utf-8", "surrogatepass")) for t in rows.column(1).to_pylist()]])
 
-    return texts(docs).mapInArrow(encode, out)
+    return map_batches(texts(docs), encode, out)
 
 
 PROBED = (
@@ -274,7 +273,7 @@ def probe(media: DataFrame) -> DataFrame:
             rows = [_probed(parse(b or b"")) for b in batch.column(1).to_pylist()]
             yield batch_of(out, [batch.column(0), *map(list, zip(*rows))] if rows else [[] for _ in out])
 
-    return media.select("doc_id", "media").mapInArrow(read, out)
+    return map_batches(media.select("doc_id", "media"), read, out)
 
 
 def _probed(s: Stream) -> tuple:
@@ -308,4 +307,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 rows.append((int(s.tags.get("n_bytes", 0)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, us, frames))
             yield batch_of(out, [batch.column(0), *map(list, zip(*rows))] if rows else [[] for _ in out])
 
-    return stored(text_media(docs)).mapInArrow(digest, out)
+    return map_batches(stored(text_media(docs)), digest, out)

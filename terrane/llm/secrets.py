@@ -18,11 +18,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import batch_of, id_type, schema
+from terrane.llm.common import batch_of, id_type, map_batches, schema
 
 #: Labelled findings that a forest is fitted on at most.
 FINDINGS = 20_000
@@ -323,11 +324,9 @@ def scan_documents(docs: DataFrame, forest: Forest | None = None, least: float =
                 for f, s in findings(text, shared.value, least) if text else ():
                     at.append(i)
                     rows.append((f.begin, f.end, f.kind, hashlib.sha256(text[f.begin : f.end].encode("utf-8", "surrogatepass")).hexdigest(), s))
-            import pyarrow as pa
-
             yield batch_of(out, [batch.column(0).take(pa.array(at, pa.int64())), *(map(list, zip(*rows)) if rows else [[]] * 5)])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, out)
+    return map_batches(docs.select("doc_id", "text"), scan, out)
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
@@ -343,13 +342,11 @@ def redacted(docs: DataFrame, forest: Forest | None = None, least: float = 0.5,
         return text
 
     def scan(batches):
-        import pyarrow as pa
-
         for batch in batches:
             text = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), text)
 
-    out = docs.mapInArrow(scan, T.StructType(docs.schema.fields))
+    out = map_batches(docs, scan, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

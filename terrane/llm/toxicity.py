@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import WORD_TABLE, WordHasher, batch_of, content_words, crc32_of_id, gram_hashes, id_type, schema
+from terrane.llm.common import WORD_TABLE, batch_of, content_words, crc32_of_id, gram_hashes, hash_words, id_type, map_batches, schema, slices
 
 #: Bounds of the sample that the model is fitted on: labelled documents of each class, and characters of one.
 TOXIC_SAMPLE, PLAIN_SAMPLE, SAMPLE_CHARS = 1500, 3000, 20_000
@@ -191,7 +191,7 @@ def _units(words: set[bytes]) -> set[str]:
 
 def _group(words: list[bytes]) -> int:
     """The smallest hash of a text's runs of five words: near copies mostly share it and so count once."""
-    grams = gram_hashes(WordHasher()(words), min(5, len(words))) if words else np.zeros(0, np.uint64)
+    grams = gram_hashes(hash_words(words), min(5, len(words))) if words else np.zeros(0, np.uint64)
     return int(grams.min()) if len(grams) else 0
 
 
@@ -376,13 +376,12 @@ def tag_documents(docs: DataFrame, model: Model) -> DataFrame:
     def tag(batches):
         words = Words(shared.value.weights)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1, 1 << 20, 500):
                 text = [t or "" for t in part.column(1).to_pylist()]
                 marginals, inputs = shared.value.marginals(text, words)
                 yield batch_of(out, [part.column(0), shared.value.scores(inputs), [spans_of(t, m) for t, m in zip(text, marginals)]])
 
-    return docs.select("doc_id", "text").mapInArrow(tag, out)
+    return map_batches(docs.select("doc_id", "text"), tag, out)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:
@@ -402,9 +401,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int]
     def keep(batches):
         words = Words(shared.value.weights)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in slices(batch, at, 1 << 20, 500):
                 _, inputs = shared.value.marginals([t or "" for t in part.column(at).to_pylist()], words)
                 yield part.filter(pa.array(shared.value.scores(inputs) < threshold))
 
-    return docs.mapInArrow(keep, T.StructType(docs.schema.fields))
+    return map_batches(docs, keep, T.StructType(docs.schema.fields))
