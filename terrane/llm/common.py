@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is set only where none is (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -129,6 +131,14 @@ def planned_bytes(df: DataFrame) -> int:
     return min(size, 1 << 60)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(df: DataFrame) -> int:
     """Bytes of all texts, counted."""
     return df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

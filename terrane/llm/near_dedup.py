@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Words, batch_of, batch_table, bounded_batches, discard, gram_hashes, id_type, map_batches, mix64, release, schema, slices, stored, string_bytes
+from terrane.llm.common import BATCH_BYTES, Words, batch_of, batch_table, bounded_batches, discard, fresh, gram_hashes, id_type, map_batches, mix64, release, schema, slices, stored, string_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -261,19 +261,19 @@ def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, thresh
 
     Buckets of up to `group` members and group_bytes of text are compared in one group each. Larger ones are cut
     into blocks, and each pair of blocks is a group, which makes a row of a member for each block.
-    A pair is made inside a group only: signatures that do not rule it out send it to verification there,
-    unless links found in the group connect it already. So a group gives fewer links than it has members.
+    A pair is made inside a group only, that of the first band it shares: signatures that do not rule it out send it
+    to verification there, unless links found in the group connect it already. So a group gives fewer links than it has members.
     """
     named = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "bands", "bytes", F.coalesce("root", "digest").alias("root"))
-    members = stored(named.where(F.size("bands") > 0).select("digest", "root", "bytes", F.explode("bands").alias("band")))
+    members = stored(named.where(F.size("bands") > 0).select("digest", "root", "bytes", F.posexplode("bands").alias("nth", "band")))
     whole = members.join(_mixed(members), "band")
     blocks = F.greatest(F.ceil(F.col("n") * 2 / group), F.ceil(F.col("in_all") * 2 / group_bytes))
     cut = whole.withColumn("k", F.when((F.col("n") <= group) & (F.col("in_all") <= group_bytes), 1).otherwise(blocks).cast("int"))
     cut = cut.withColumn("at", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = stored(cut.select("digest", "root", F.xxhash64("band", F.least("at", "with"), F.greatest("at", "with")).alias("key")))
+    dealt = stored(cut.select("digest", "root", "nth", "at", (F.col("at") == F.col("with")).alias("own"), F.xxhash64("band", F.least("at", "with"), F.greatest("at", "with")).alias("key")))
     texts = stored(texts_of(dealt.select("digest"), docs, nodes))
     fine = stored(finer(texts, size))
-    full = dealt.join(nodes.select("digest", "registers").join(fine, "digest").join(texts, "digest"), "digest")
+    full = dealt.join(nodes.select("digest", "registers", "bands").join(fine, "digest").join(texts, "digest"), "digest")
     least, fine_least = max(0.0, threshold - COARSE_SLACK), max(0.0, threshold - FINE_SLACK)
     out = schema(("a", "binary"), ("b", "binary"))
 
@@ -282,24 +282,28 @@ def unmet(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, thresh
         _, root = np.unique(np.array([x.hex() for x in table.column("root").to_pylist()]), return_inverse=True)
         signs = np.stack([np.frombuffer(x, "<u2") for x in table.column("registers").to_pylist()])
         long = np.stack([np.frombuffer(x, np.uint8) for x in table.column("fine").to_pylist()])
+        bands = np.stack([np.array(x, np.int64) for x in table.column("bands").to_pylist()])
+        nth, block, own = table.column("nth")[0].as_py(), table.column("at").to_numpy(), table.column("own")[0].as_py()
         words = table.column("text")
         sets: dict[int, tuple] = {}
         of = lambda i: sets[i] if i in sets else sets.setdefault(i, weighted(pa.array([words[i].as_py()], pa.string()), size)[0])
         a, b = [], []
         for i in range(len(digests) - 1):
-            others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            others = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (own | (block[i + 1 :] != block[i])))
+            others = others[(bands[others] == bands[i]).argmax(axis=1) == nth]
             others = others[(signs[others] == signs[i]).mean(axis=1) >= least]
             for j in others[(long[others] == long[i]).mean(axis=1) >= fine_least].tolist():
                 if root[i] != root[j] and similarity(of(i), of(j)) >= threshold:
                     a.append(digests[i])
                     b.append(digests[j])
                     root[root == root[j]] = root[i]  # one class from now on
-        del sets
-        release()
+        if table.nbytes > BATCH_BYTES:
+            del sets
+            release()
         return batch_table(out, [a, b])
 
     bounded_batches(docs.sparkSession)
-    links = stored(full.select("key", "digest", "root", "registers", "fine", "text").groupBy("key").applyInArrow(compare, out).distinct())
+    links = stored(full.select("key", "digest", "root", "nth", "at", "own", "bands", "registers", "fine", "text").groupBy("key").applyInArrow(compare, out).distinct())
     discard(members, dealt, texts, fine)
     return links
 
@@ -337,10 +341,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns, one row of each near-duplicate class: that of the smallest doc_id.
 
-    Rows without a doc_id stay if their class has no doc_id at all, one per class.
+    Rows without a doc_id stay if their class has no doc_id at all, one per class. Null and empty texts are one class,
+    of repeated rows one stays, and an empty table stays empty.
     """
     found = near_duplicates(docs, size, threshold)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("digest").alias("__digest"), F.first("doc_id").alias("__id")).drop("root")
-    keyed = docs.withColumn("__key", _digest())
-    kept = keyed.join(keep, (F.col("__key") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("digest").alias("digest_kept"), F.first("doc_id").alias("id_kept")).drop("root")
+    key = fresh(docs, "key")
+    keyed = docs.withColumn(key, _digest())
+    kept = keyed.join(keep, (keyed[key] == keep["digest_kept"]) & keyed["doc_id"].eqNullSafe(keep["id_kept"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)

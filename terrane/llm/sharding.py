@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import shuffle_partitions, stored
+from terrane.llm.common import fresh, shuffle_partitions, stored
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def place(df: DataFrame, tree: list[Shard], key: str, out: str) -> DataFrame:
         regions[s.region] += s.weight
         racks[s.region, s.rack] += s.weight
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    region, rack = f"__region_{out}", f"__rack_{out}"
+    region, rack = fresh(df, "region"), fresh(df, "rack")
     df = df.withColumn(region, _winner(k, [(r, f"{r}", w) for r, w in sorted(regions.items())]))
     choice = F.lit(None).cast("int")
     for r in sorted(regions):
@@ -83,7 +83,7 @@ def shard_documents(docs: DataFrame, tree: list[Shard] | None = None, buckets: i
     size is the text's UTF-8 bytes plus 1; a null text has none and crc32 0.
     Slots run from 0 without gaps in each shard. They are numbered within hash
     buckets of a shard, whose starts come from the buckets' counts, so that no
-    task sees a whole shard. Repeated rows get a slot each. Columns besides
+    task sees a whole shard. Repeated rows get a slot each, in buckets of their own. Columns besides
     doc_id and text are ignored. An empty table gives no rows.
     """
     tree = topology(8) if tree is None else tree
@@ -96,7 +96,7 @@ def shard_documents(docs: DataFrame, tree: list[Shard] | None = None, buckets: i
         F.crc32(raw.cast("binary")).alias("text_crc32"),
     )
     rows = place(place(rows, tree, "doc_id", "shard"), grown(tree), "doc_id", "grown_shard")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     rows = stored(rows)
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
