@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm.common import read, stored
+from terrane.llm.common import discard, read, stored
 from terrane.llm.decontamination import without_contaminated
 from terrane.llm.near_dedup import one_of_each
 from terrane.llm.packing import pack_documents
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, last = read(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
