@@ -15,25 +15,35 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
 
 
+#: Below this a span or deviation counts as none.
+EPSILON = 2.0**-52
+
+
 def breaks(df: DataFrame, column: str, method: str, classes: int) -> list[float]:
-    """The inner class bounds in ascending order; none for one class. classes is clamped to 2..64."""
+    """The inner class bounds in ascending order, one less than classes, which is clamped to 2..64.
+
+    head/tail stops by itself and may give fewer. Equal values spread over a span of 1; without values the span is 0 to 1.
+    """
     k = min(64, max(2, classes))
     values = _values(df, column)
     low, high, n, mean, std = values.agg(F.min("v"), F.max("v"), F.count("v"), F.avg("v"), F.stddev_pop("v")).first()
-    if not n or low == high:
-        return []
+    if not n:
+        low, high, method = 0.0, 1.0, "equal"
+    span = high - low if high - low >= EPSILON else 1.0
     if method == "equal":
-        return [low + (high - low) * i / k for i in range(1, k)]
+        return [low + span * i / k for i in range(1, k)]
     if method == "arithmetic":
-        step = (high - low) / (k * (k + 1) / 2)
+        step = span / (k * (k + 1) / 2)
         return [low + step * i * (i + 1) / 2 for i in range(1, k)]
     if method == "quantile":
-        return sorted(set(_nth(values, [min(i * n // k, n - 1) for i in range(1, k)])))
+        at = [min(i * n // k, n - 1) for i in range(1, k)]
+        found = dict(zip(sorted(set(at)), _nth(values, sorted(set(at)))))
+        return [found[i] for i in at]
     if method == "stddev":
-        return [mean + 0.5 * std * (i - k / 2) for i in range(1, k)]
+        return [mean + 0.5 * max(std, EPSILON) * (i - k / 2) for i in range(1, k)]
     if method == "geometric":
         base = values.where("v > 0").agg(F.min("v")).first()[0]
-        if base is None or high <= base:
+        if base is None or high / base <= 1 + 1e-12:
             return breaks(df, column, "equal", k)
         q = (high / base) ** (1 / k)
         return [base * q**i for i in range(1, k)]
@@ -41,13 +51,15 @@ def breaks(df: DataFrame, column: str, method: str, classes: int) -> list[float]
         out, head, size = [], values, n
         while len(out) < k - 1 and size > 1:
             m = head.agg(F.avg("v")).first()[0]
-            rest = head.where(F.col("v") > m)
+            rest = head.where(F.col("v") >= m)
             count = rest.count()
+            if count in (0, size):
+                break
             out.append(m)
-            if count == 0 or count / size >= 0.4:
+            if count / size >= 0.4:
                 break
             head, size = rest, count
-        return out
+        return out or breaks(df, column, "equal", k)
     if method == "jenks":
         stride = max(1, -(-n // JENKS_SAMPLE))
         sample = np.sort(np.array(_nth(values, list(range(0, n, stride)))))

@@ -24,8 +24,8 @@ def point_weights(df: DataFrame, x: str | Column, y: str | Column, value: str, s
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     text = dict(df.dtypes)[value] == "string"
     v = F.trim(value) if text else F.col(value).cast("double")
-    good = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & F.col("v").isNotNull()
-    good &= (F.col("v") != "") if text else ~F.isnan("v")
+    finite = lambda c: F.abs(F.col(c)) < float("inf")  # noqa: E731  nan is above all numbers
+    good = finite("x") & finite("y") & ((F.col("v") != "") if text else finite("v"))
     rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"), v.alias("v"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row")).where(good)
     return rows.select(F.floor(F.col("x") / sx).alias("ix"), F.floor(F.col("y") / sy).alias("iy"), "v", F.lit(1.0).alias("w"), F.lit(1.0).alias("q"), "row")
 
@@ -33,7 +33,9 @@ def point_weights(df: DataFrame, x: str | Column, y: str | Column, value: str, s
 def box_weights(df: DataFrame, edges: tuple[str, str, str, str], value: str, sx: float, sy: float, row: str) -> DataFrame:
     """Rectangles dealt to cells by their areas: w is the share of the rectangle in the cell, q the area there (1 without area)."""
     x0, y0, x1, y1 = (F.col(e) for e in edges)
-    rows = df.select(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.col(value).alias("v"), F.col(row).alias("row")).where(F.col("v").isNotNull())
+    rows = df.select(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.col(value).alias("v"), F.col(row).alias("row"))
+    whole = [F.abs(F.col(c)) < float("inf") for c in ("x0", "y0", "x1", "y1")]
+    rows = rows.where(whole[0] & whole[1] & whole[2] & whole[3] & (F.col("v").isNotNull() if dict(df.dtypes)[value] == "string" else F.abs("v") < float("inf")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     flat = rows.where(area <= 0).select(F.floor((F.col("x0") + F.col("x1")) / 2 / sx).alias("ix"), F.floor((F.col("y0") + F.col("y1")) / 2 / sy).alias("iy"), "v", F.lit(1.0).alias("w"), F.lit(1.0).alias("q"), "row")
     cells = rows.where(area > 0).withColumn("ix", F.explode(F.sequence(F.floor(F.col("x0") / sx), F.floor(F.col("x1") / sx))))
@@ -71,12 +73,19 @@ def polygon_weights(df: DataFrame, geometry: str, value: str, sx: float, sy: flo
             for data, v, r in zip(pdf[geometry], pdf[value], pdf[row]):
                 g = wkb.decode(data)
                 box = wkb.bounds(g)
-                if box is None or v is None or v != v:
+                if box is None or v is None or not all(map(math.isfinite, box)) or not isinstance(v, str) and not math.isfinite(v):
                     continue
                 got, polygons = {}, wkb.polygons_of(g)
                 i0, i1, j0, j1 = (math.floor(c / s) for c, s in ((box[0], sx), (box[2], sx), (box[1], sy), (box[3], sy)))
                 many = (i1 - i0 + 1) * (j1 - j0 + 1) > sampled_beyond
-                for rings in polygons:
+                if (upright := k.upright(polygons)) and not many:
+                    for i in range(i0, i1 + 1):
+                        across = min(box[2], (i + 1) * sx) - max(box[0], i * sx)
+                        for j in range(j0, j1 + 1):
+                            down = min(box[3], (j + 1) * sy) - max(box[1], j * sy)
+                            if across > 0 and down > 0:
+                                got[i, j] = across * down
+                for rings in polygons if not upright or many else ():
                     for n, ring in enumerate(rings):
                         sign = -1 if n else 1
                         for i in range(i0, i1 + 1):
@@ -164,7 +173,7 @@ def closed(cells: DataFrame) -> DataFrame:
 
 
 def hillshade(cells: DataFrame, sx: float, sy: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """Light from an azimuth on the surface of values, 0 to 255. A missing neighbour counts as the cell itself; heights are scaled by the
+    """Light from a compass azimuth on the surface of values, whose iy grow northwards, 0 to 255. A missing neighbour counts as the cell itself; heights are scaled by the
     upper median of the gradients that are not zero."""
     at = lambda dx, dy: F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col("nv")))
     names = {(dx, dy): f"n{dx + 1}{dy + 1}" for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
@@ -177,10 +186,10 @@ def hillshade(cells: DataFrame, sx: float, sy: float, azimuth: float = 315.0, al
     n = steep.count()
     middle = steep.orderBy("mag").offset(n // 2).limit(1).first() if n else None
     z = 1 / middle["mag"] if middle else 1.0
-    az, alt = math.radians(360 - azimuth + 90), math.radians(altitude)
-    slope, aspect = F.atan(F.col("mag") * z), F.atan2(F.col("gy"), -F.col("gx"))
+    az, alt = math.radians(azimuth), math.radians(altitude)
+    slope, aspect = F.atan(F.col("mag") * z), F.atan2(-F.col("gx"), -F.col("gy"))  # the compass direction that falls most
     light = F.sin(F.lit(alt)) * F.cos(slope) + F.cos(F.lit(alt)) * F.sin(slope) * F.cos(F.lit(az) - aspect)
-    return sloped.select("ix", "iy", F.greatest(F.lit(0.0), F.least(F.lit(255.0), light * 255)).alias("value"), "count")
+    return sloped.select("ix", "iy", (F.greatest(F.lit(0.0), F.least(F.lit(1.0), light)) * 255).alias("value"), "count")
 
 
 def contour_levels(cells: DataFrame, n: int, quantile: bool = False) -> list[float]:

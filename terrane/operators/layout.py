@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.plans.storage import kept
+
 ORDER = 16
 MAX_PARTS = 4096
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -61,6 +63,9 @@ def cogp_levels(df: DataFrame, box: str, gsds: list[float], row: str, rank: str
 
     A box goes to the first scale at which its diagonal is at least `polygon` pixels. Boxes without extent are thinned: at each scale one
     row, the best by rank, size and a hash, wins each cell of `point` pixels that no earlier winner took. The rest goes to the finest.
+
+    Where scales divide each other, so that cells nest, a row's level is the first at which it is the best of its cell: an earlier winner of a
+    larger cell is the best of all cells in it that hold it. One pass finds that for all scales. Other scales go one by one, stored in between.
     """
     if any(b >= a for a, b in zip(gsds, gsds[1:])):
         raise ValueError("scales must fall")
@@ -70,21 +75,36 @@ def cogp_levels(df: DataFrame, box: str, gsds: list[float], row: str, rank: str
     level = F.lit(last)
     for i in range(last, -1, -1):
         level = F.when(diagonal >= polygon * gsds[i], i).otherwise(level)
-    sized = df.withColumn("level", F.when(diagonal > 0, level).when(diagonal.isNull(), last)).withColumn("__x", F.col(f"{box}.xmin")).withColumn("__y", F.col(f"{box}.ymin"))
+    sized = df.withColumn("level", F.when(diagonal > 0, level).when(diagonal.isNull(), last))
     out, left = sized.where("level is not null"), sized.where("level is null").drop("level")
-    order = F.struct((F.col(rank) if rank else F.lit(0)).alias("r"), F.xxhash64(row).alias("h"), F.col(row).alias("id"))
-    taken = None
-    for i, gsd in enumerate(gsds[:-1]):
-        cell = [F.floor(F.col("__x") / (point * gsd)).alias("cx"), F.floor(F.col("__y") / (point * gsd)).alias("cy")]
-        free = left.select("*", *cell)
-        if taken is not None:  # cells of earlier winners are blocked
-            free = free.join(taken.select(*cell).distinct(), ["cx", "cy"], "left_anti")
-        best = free.groupBy("cx", "cy").agg(F.min(order)["id"].alias("__winner"))
-        won = left.join(best.select(F.col("__winner").alias(row)), row, "left_semi")
-        out = out.unionByName(won.withColumn("level", F.lit(i)))
-        taken = won.select("__x", "__y") if taken is None else taken.unionByName(won.select("__x", "__y"))
-        left = left.join(best.select(F.col("__winner").alias(row)), row, "left_anti")
-    return out.unionByName(left.withColumn("level", F.lit(last))).drop("__x", "__y")
+    best = F.struct((F.col(rank) if rank else F.lit(0)).alias("r"), F.xxhash64(row).alias("h"), F.col(row).alias("id")).alias("o")
+    places = left.select(best, F.col(f"{box}.xmin").alias("x"), F.col(f"{box}.ymin").alias("y"))
+    nested = all((a / b).is_integer() for a, b in zip(gsds, gsds[1:]))
+    won = _first_won(places, [point * g for g in gsds[:-1]]) if nested else _won_in_turn(places, [point * g for g in gsds[:-1]])
+    won = won.select(F.col("id").alias(row), "level")
+    return out.unionByName(left.join(won, row, "left").withColumn("level", F.coalesce("level", F.lit(last))).select(*out.columns))
+
+
+def _first_won(places: DataFrame, sides: list[float]) -> DataFrame:
+    """id and level of the rows that are the best of a cell of nested sizes: the first such size."""
+    if not sides:
+        return places.select(F.col("o.id").alias("id"), F.lit(0).alias("level")).limit(0)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("x") / s).alias("cx"), F.floor(F.col("y") / s).alias("cy")) for i, s in enumerate(sides)])
+    best = places.select("o", F.explode(cells).alias("c")).groupBy("c").agg(F.min("o").alias("o"))
+    return best.groupBy(F.col("o.id").alias("id")).agg(F.min("c.i").alias("level"))
+
+
+def _won_in_turn(places: DataFrame, sides: list[float]) -> DataFrame:
+    """The same for any sizes: size by size, cells that hold an earlier winner are blocked."""
+    won = None
+    for i, side in enumerate(sides):
+        cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
+        dealt = places.select("o", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+        if won is not None:
+            dealt = dealt.join(won.select(cell("x").alias("cx"), cell("y").alias("cy")).distinct(), ["cx", "cy"], "left_anti")
+        new = dealt.groupBy("cx", "cy").agg(F.min(F.struct("o", "x", "y")).alias("w")).select("w.o", "w.x", "w.y", F.lit(i).alias("level"))
+        won = kept(new if won is None else won.unionByName(new))
+    return places.select(F.col("o.id").alias("id"), F.lit(0).alias("level")).limit(0) if won is None else won.select(F.col("o.id").alias("id"), "level")
 
 
 def web_mercator_gsds(zooms=range(17), resolution: int = 1024) -> list[float]:
@@ -124,16 +144,28 @@ def read_partitioned(spark: SparkSession, path: str, columns: list[str]) -> Data
 def adaptive_split(df: DataFrame, x: Column, y: Column, side: float, target_rows: int, max_depth: int) -> DataFrame:
     """df with part: the largest square of a quadtree that holds at most target_rows rows, or one of max_depth. Null places have part null.
 
-    Parts to be split are joined in Spark, however many there are.
+    Rows are counted once, in the smallest squares. Every larger square's count follows from those, and a row lies as deep as there are
+    squares around it that hold too many. More than MAX_PARTS parts are refused, as in write_partitioned().
     """
-    path = lambda d: F.concat_ws("/", F.lit(d), F.floor(x / (side / 2**d)), F.floor(y / (side / 2**d)))
-    rows = df.withColumn("part", F.when(x.isNotNull() & y.isNotNull(), path(0)))
-    for d in range(max_depth):
-        big = rows.groupBy("part").count().where((F.col("count") > target_rows) & F.col("part").startswith(f"{d}/"))
-        if big.limit(1).count() == 0:
-            break
-        rows = rows.join(big.select("part", F.lit(True).alias("__split")), "part", "left").withColumn("part", F.when(F.col("__split"), path(d + 1)).otherwise(F.col("part"))).drop("__split")
-    return rows
+    top = side / 2**max_depth
+    placed = df.withColumn("__ix", F.floor(x / top)).withColumn("__iy", F.floor(y / top))
+    cells = placed.where("__ix is not null and __iy is not null").groupBy("__ix", "__iy").agg(F.count(F.lit(1)).alias("n"))
+    around = F.array(*[F.struct(F.lit(d).alias("d"), F.floor(F.col("__ix") / 2 ** (max_depth - d)).alias("cx"), F.floor(F.col("__iy") / 2 ** (max_depth - d)).alias("cy")) for d in range(max_depth)]) if max_depth else None
+    if max_depth:
+        above = cells.withColumn("a", F.explode(around))
+        big = above.groupBy("a").agg(F.sum("n").alias("all")).where(F.col("all") > target_rows).select("a")
+        depth = kept(above.join(big, "a", "left_semi").groupBy("__ix", "__iy").agg(F.count(F.lit(1)).cast("int").alias("__d")))
+        parts = cells.join(depth, ["__ix", "__iy"], "left").withColumn("__d", F.coalesce("__d", F.lit(0)))
+        scale = F.pow(F.lit(2.0), F.lit(max_depth) - F.col("__d"))
+        n = parts.select("__d", F.floor(F.col("__ix") / scale), F.floor(F.col("__iy") / scale)).distinct().limit(MAX_PARTS + 1).count()
+        if n > MAX_PARTS:
+            raise ValueError(f"more than {MAX_PARTS} partitions")
+        placed = placed.join(depth, ["__ix", "__iy"], "left").withColumn("__d", F.coalesce("__d", F.lit(0)))
+    else:
+        placed = placed.withColumn("__d", F.lit(0))
+    scale = F.pow(F.lit(2.0), F.lit(max_depth) - F.col("__d"))
+    path = F.concat_ws("/", "__d", F.floor(F.col("__ix") / scale), F.floor(F.col("__iy") / scale))
+    return placed.withColumn("part", F.when(F.col("__ix").isNotNull() & F.col("__iy").isNotNull(), path)).select(*df.columns, "part")
 
 
 def overlap_metric(boxes: DataFrame, xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax", id_="id", most: int = 4096) -> DataFrame:
@@ -157,10 +189,11 @@ def geo_document(primary: str, types: list[str], bbox: tuple | None, projjson=No
     return json.dumps({"version": "1.1.0", "primary_column": primary, "columns": {primary: column}})
 
 
-def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: int = 65_536, sort: bool = True, files: int | None = None) -> dict:
+def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: int = 65_536, sort: bool = True, files: int | None = None, row_group_bytes: int = 128 << 20) -> dict:
     """Write a GeoParquet 1.1 dataset with a covering and, if sorted, in Hilbert order; path must be a folder all executors reach.
 
-    Each task writes one file to a staging name and renames it. Returns rows and files.
+    Each task writes one file to a staging name and renames it. Row groups hold row_group_rows rows, or fewer where those
+    would be more than row_group_bytes. Returns rows and files.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -187,19 +220,37 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
         staged = f"{final}.{uuid.uuid4().hex}.partial"
         types, bounds, rows, writer = set(), None, 0, None
         at = target.get_field_index(geometry)
+        held: list = []
+
+        def flush(everything: bool) -> None:
+            """Write full row groups, and what is left at the end."""
+            nonlocal writer
+            table = pa.Table.from_batches(held)
+            held.clear()
+            n = row_group_rows
+            if table.nbytes > row_group_bytes:
+                n = max(1, min(n, table.num_rows * row_group_bytes // table.nbytes))
+            end = table.num_rows if everything else table.num_rows // n * n
+            writer = writer or pq.ParquetWriter(staged, target, compression="zstd", write_page_index=True)
+            for start in range(0, end, n):
+                writer.write_table(table.slice(start, min(n, end - start)), row_group_size=n)
+            if end < table.num_rows:
+                held.extend(table.slice(end).to_batches())
+
         for batch in batches:
-            if writer is None:
-                writer = pq.ParquetWriter(staged, target, compression="zstd", write_page_index=True)
-            for start in range(0, batch.num_rows, row_group_rows):
-                part = batch.slice(start, row_group_rows)
-                for g in map(wkb.decode, part.column(at).to_pylist()):
-                    b = wkb.bounds(g)
-                    if g:
-                        types.add(g[0])
-                    if b:
-                        bounds = b if bounds is None else (min(b[0], bounds[0]), min(b[1], bounds[1]), max(b[2], bounds[2]), max(b[3], bounds[3]))
-                writer.write_table(pa.Table.from_batches([part.cast(target) if part.schema != target else part]), row_group_size=row_group_rows)
-                rows += part.num_rows
+            part = pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(batch.columns, target)], schema=target)
+            for g in map(wkb.decode, part.column(at).to_pylist()):
+                b = wkb.bounds(g)
+                if g:
+                    types.add(g[0])
+                if b:
+                    bounds = b if bounds is None else (min(b[0], bounds[0]), min(b[1], bounds[1]), max(b[2], bounds[2]), max(b[3], bounds[3]))
+            rows += part.num_rows
+            held.append(part)
+            if sum(p.num_rows for p in held) >= row_group_rows or sum(p.nbytes for p in held) >= row_group_bytes:
+                flush(False)
+        if held:
+            flush(True)
         if writer is not None:
             writer.add_key_value_metadata({"geo": geo_document(geometry, list(types), bounds, covering=box)})
             writer.close()

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.plans.storage import kept
+
 #: Bytes up to which an attribute table is broadcast to a join; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
 
@@ -82,10 +84,13 @@ def row_ranges(df: DataFrame, row: str, group: str | None = None) -> DataFrame:
     chunked = df.select(*keys, F.col(row).cast("long").alias("r")).withColumn("chunk", F.floor(F.col("r") / 65536))
     w = Window.partitionBy(*keys, "chunk").orderBy("r")
     runs = chunked.withColumn("island", F.col("r") - F.row_number().over(w)).groupBy(*keys, "chunk", "island").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    # Only runs that touch a chunk's border can go on in the next chunk: two a chunk at most.
+    edge = (F.col("first") == F.col("chunk") * 65536) | (F.col("last") == F.col("chunk") * 65536 + 65535)
+    inner = runs.where(~edge).select(*keys, "first", "last")
     w2 = Window.partitionBy(*keys).orderBy("first")
-    marked = runs.withColumn("starts", (F.coalesce(F.lag("last").over(w2), F.lit(-2)) + 1 != F.col("first")).cast("int"))
+    marked = runs.where(edge).withColumn("starts", (F.coalesce(F.lag("last").over(w2), F.lit(-2)) + 1 != F.col("first")).cast("int"))
     numbered = marked.withColumn("n", F.sum("starts").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "n").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("n")
+    return inner.unionByName(numbered.groupBy(*keys, "n").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("n"))
 
 
 def merge_layers(layers: list[DataFrame], source_names: list[str] | None = None) -> DataFrame:
@@ -133,7 +138,7 @@ def where_spatial(df: DataFrame, predicate: str, geometry: str, constant: tuple,
 
 
 def first_containing(points: DataFrame, areas: DataFrame, x: str, y: str, area_id: str, geometry: str, value: str, cell: float) -> DataFrame:
-    """points with the value of the containing area of the lowest area_id, or null.
+    """points with the value of the containing area of the lowest area_id, or null; a point on an area's edge is not contained.
 
     Boxes of areas are dealt to the cells of a square grid that they meet, and points join on their cell, so that only
     areas near a point are tested. cell should be about the size of an area.
@@ -144,9 +149,36 @@ def first_containing(points: DataFrame, areas: DataFrame, x: str, y: str, area_i
     index = lambda c: F.floor(c / F.lit(float(cell)))
     cells = cells.withColumn("__cx", F.explode(F.sequence(index(F.col("b.xmin")), index(F.col("b.xmax")))))
     cells = cells.withColumn("__cy", F.explode(F.sequence(index(F.col("b.ymin")), index(F.col("b.ymax")))))
-    keyed = points.withColumn("__row", F.monotonically_increasing_id()).withColumn("__cx", index(F.col(x))).withColumn("__cy", index(F.col(y)))
-    near = keyed.join(cells, ["__cx", "__cy"]).where((F.col(x) >= F.col("b.xmin")) & (F.col(x) <= F.col("b.xmax")) & (F.col(y) >= F.col("b.ymin")) & (F.col(y) <= F.col("b.ymax")))
-    inside = near.where(FUNCTIONS["st_intersects"](F.col("__g"), st("st_point", F.col(x), F.col(y))))
-    names = [F.col(quoted(c)) for c in points.columns]
-    hit = inside.groupBy("__row").agg(F.min(F.struct("__id", "__v"))["__v"].alias(value))
-    return keyed.join(hit, "__row", "left").select(*names, value)
+    # Row numbers are used twice, so they are fixed first.
+    keyed = kept(points.withColumn("__row", F.monotonically_increasing_id()))
+    near = keyed.select("__row", F.col(x).alias("__x"), F.col(y).alias("__y"), index(F.col(x)).alias("__cx"), index(F.col(y)).alias("__cy")).join(cells, ["__cx", "__cy"])
+    near = near.where((F.col("__x") > F.col("b.xmin")) & (F.col("__x") < F.col("b.xmax")) & (F.col("__y") > F.col("b.ymin")) & (F.col("__y") < F.col("b.ymax")))
+    inside = near.where(FUNCTIONS["st_contains"](F.col("__g"), st("st_point", F.col("__x"), F.col("__y"))))
+    hit = inside.groupBy("__row").agg(F.min(F.struct("__id", "__v"))["__v"].alias("__value"))
+    return keyed.join(hit, "__row", "left").select(*[F.col(quoted(c)) for c in points.columns], F.col("__value").alias(value))
+
+
+def spatial_join(left: DataFrame, right: DataFrame, predicate: str, left_geometry: str, right_geometry: str, cell: float, distance: float | None = None) -> DataFrame:
+    """All pairs of rows whose geometries satisfy a predicate: struct columns `left` and `right`.
+
+    Both sides are dealt to the cells of a square grid that their boxes meet and joined on cells. A pair whose boxes meet in
+    several cells is kept in the first of them only, so no distinct is needed; the exact predicate follows. cell should be about the
+    size of the larger geometries. Rows without a box have no partner; repeated rows pair each.
+    """
+    from terrane.functions.spatial import FUNCTIONS, bounds_struct
+
+    index = lambda c: F.floor(c / F.lit(float(cell)))
+    pad = float(distance or 0.0)
+
+    def dealt(df: DataFrame, geometry: str, side: str, by: float) -> DataFrame:
+        b = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(side), F.col(quoted(geometry)).alias(f"{side}_g"), bounds_struct(geometry).alias("b")).where("b.xmin is not null")
+        edges = [(F.col(f"b.{n}") + F.lit(by if n.endswith("max") else -by)).alias(f"{side}_{n}") for n in ("xmin", "ymin", "xmax", "ymax")]
+        b = b.select(side, f"{side}_g", *edges)
+        b = b.withColumn("cx", F.explode(F.sequence(index(F.col(f"{side}_xmin")), index(F.col(f"{side}_xmax")))))
+        return b.withColumn("cy", F.explode(F.sequence(index(F.col(f"{side}_ymin")), index(F.col(f"{side}_ymax")))))
+
+    met = dealt(left, left_geometry, "left", pad).join(dealt(right, right_geometry, "right", 0.0), ["cx", "cy"])
+    x0, y0 = F.greatest("left_xmin", "right_xmin"), F.greatest("left_ymin", "right_ymin")
+    met = met.where((x0 <= F.least("left_xmax", "right_xmax")) & (y0 <= F.least("left_ymax", "right_ymax")) & (F.col("cx") == index(x0)) & (F.col("cy") == index(y0)))
+    args = [F.col("left_g"), F.col("right_g")] + ([F.lit(pad)] if predicate == "st_dwithin" else [])
+    return met.where(FUNCTIONS[predicate](*args)).select("left", "right")

@@ -1 +1 @@
-"""The plans of the engine."""
+"""What shapes plans: results stored to cut lineage."""

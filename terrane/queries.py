@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.spatial import AGGREGATES, FUNCTIONS, extent_by, geom_from_text, register_all, st, union_by
 from terrane.operators import classify, grid, layout, relational
+from terrane.plans.storage import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,13 +106,13 @@ def st_centroid_hull(spark, d):
 _I = "greatest(0, least(x1, 45) - greatest(x0, 15)) * greatest(0, least(y1, 8) - greatest(y0, 2))"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round((x1-x0)*(y1-y0) + 180 - i, 4) AS u, round(i, 4) AS i, round((x1-x0)*(y1-y0) - i, 4) AS d, round((x1-x0)*(y1-y0) + 180 - 2*i, 4) AS x FROM (SELECT *, {_I} AS i FROM {BOXES} WHERE l_linenumber = 2)")
+@query(f"SELECT l_orderkey, l_linenumber, round((x1-x0)*(y1-y0) + 180 - i, 4) AS u, round(i, 4) AS i, round((x1-x0)*(y1-y0) - i, 4) AS d, round((x1-x0)*(y1-y0) + 180 - 2*i, 4) AS x FROM (SELECT *, {_I} AS i FROM {BOXES})")
 def st_set_operations(spark, d):
     w = geom_from_text("POLYGON((15 2,45 2,45 8,15 8,15 2))")
     return boxes(spark, d).select("l_orderkey", "l_linenumber", *[F.round(st("st_area", st(f"st_{n}", "geometry", w)), 4).alias(a) for n, a in (("union", "u"), ("intersection", "i"), ("difference", "d"), ("symdifference", "x"))])
 
 
-@query("SELECT c_custkey, 3.0::DOUBLE AS disc, 3::BIGINT AS kept FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT c_custkey, 3.0::DOUBLE AS disc, 3::BIGINT AS kept FROM customer")
 def st_buffer_simplify(spark, d):
     p = points(spark, d)
     line = F.concat(F.lit("LINESTRING("), F.col("x"), F.lit(" 0,"), F.col("x") + 1, F.lit(" 0.01,"), F.col("x") + 2, F.lit(" 5,"), F.col("x") + 3, F.lit(" 10)"))
@@ -184,12 +185,18 @@ def zones(spark) -> DataFrame:
     return z.withColumn("geometry", st("st_makeenvelope", F.col("a"), F.lit(0.0), F.col("a") + 12, F.lit(150.0)))
 
 
-@query(f"SELECT c.c_custkey, z.zone FROM {POINTS} c LEFT JOIN (SELECT i::BIGINT AS zone, i*20.0::DOUBLE AS a, i*20.0::DOUBLE + 12 AS b FROM range(10) r(i)) z ON x >= a AND x <= b AND y >= 0 AND y <= 150")
+@query(f"SELECT c.c_custkey, z.zone FROM {POINTS} c LEFT JOIN (SELECT i::BIGINT AS zone, i*20.0::DOUBLE AS a, i*20.0::DOUBLE + 12 AS b FROM range(10) r(i)) z ON x > a AND x < b AND y > 0 AND y < 150")
 def admin_join_boxes(spark, d):
     p = points(spark, d)
     return relational.first_containing(p.select("c_custkey", "x", "y"), zones(spark), "x", "y", "zone", "geometry", "zone", 20.0).select("c_custkey", "zone")
 
 
+@query(f"SELECT z.zone, count(*) AS n, sum(l_quantity) AS quantity FROM {BOXES} l JOIN (SELECT i::BIGINT AS zone, i*20.0::DOUBLE AS a, i*20.0::DOUBLE + 12 AS b FROM range(10) r(i)) z ON x1 >= a AND x0 <= b AND y1 >= 0 AND y0 <= 150 GROUP BY 1")
+def spatial_join_boxes(spark, d):
+    met = relational.spatial_join(boxes(spark, d), zones(spark), "st_intersects", "geometry", "geometry", 20.0)
+    return met.groupBy("right.zone").agg(F.count(F.lit(1)).alias("n"), F.sum("left.l_quantity").alias("quantity"))
+
+
 @query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, l_orderkey, l_quantity * l_extendedprice * (1 - l_discount) AS amount FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A','R') AND l_discount < 0.05")
 def filter_project(spark, d):
     l = t(spark, d, "lineitem").where("l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A','R') AND l_discount < 0.05")  # noqa: E741
@@ -322,7 +329,7 @@ _category("majority", "DESC")
 _category("minority", "ASC")
 
 _SHARES = f"""(SELECT ix, iy, v, (least(x1, (ix+1)*7) - greatest(x0, ix*7)) * (least(y1, (iy+1)*3) - greatest(y0, iy*3)) / ((x1-x0)*(y1-y0)) AS w
-  FROM (SELECT x0, y0, x1, y1, l_extendedprice AS v, unnest(generate_series(floor(x0/7)::BIGINT, floor(x1/7)::BIGINT)) AS ix FROM {BOXES} WHERE l_linenumber < 3) a, LATERAL (SELECT unnest(generate_series(floor(y0/3)::BIGINT, floor(y1/3)::BIGINT)) AS iy) b
+  FROM (SELECT x0, y0, x1, y1, l_extendedprice AS v, unnest(generate_series(floor(x0/7)::BIGINT, floor(x1/7)::BIGINT)) AS ix FROM {BOXES}) a, LATERAL (SELECT unnest(generate_series(floor(y0/3)::BIGINT, floor(y1/3)::BIGINT)) AS iy) b
   WHERE least(x1, (ix+1)*7) > greatest(x0, ix*7) AND least(y1, (iy+1)*3) > greatest(y0, iy*3))"""
 
 
@@ -383,7 +390,18 @@ def grid_close(spark, d):
     return _rounded(grid.closed(_cells(spark, d)))
 
 
-@query()
+_D = {n: f"max(CASE WHEN b.ix = a.ix + {dx} AND b.iy = a.iy + {dy} THEN b.value END)" for n, (dx, dy) in {
+    "nw": (-1, 1), "n": (0, 1), "ne": (1, 1), "w": (-1, 0), "e": (1, 0), "sw": (-1, -1), "s": (0, -1), "se": (1, -1)}.items()}
+_SHADE = f"""WITH a AS (SELECT * FROM {_SURFACE}),
+  n AS (SELECT a.ix, a.iy, max(a.count) AS count, {", ".join(f"coalesce({v}, max(a.value)) AS {k}" for k, v in _D.items())}
+        FROM a JOIN a b ON b.ix BETWEEN a.ix-1 AND a.ix+1 AND b.iy BETWEEN a.iy-1 AND a.iy+1 GROUP BY 1, 2),
+  g AS (SELECT ix, iy, count, ((ne+2*e+se)-(nw+2*w+sw))/80.0 AS gx, ((nw+2*n+ne)-(sw+2*s+se))/80.0 AS gy FROM n),
+  m AS (SELECT m FROM (SELECT sqrt(gx*gx+gy*gy) AS m, row_number() OVER (ORDER BY sqrt(gx*gx+gy*gy)) AS r, count(*) OVER () AS k FROM g WHERE gx <> 0 OR gy <> 0) WHERE r = k // 2 + 1)
+  SELECT ix, iy, 255 * greatest(0, least(1, sin(radians(45)) * cos(t) + cos(radians(45)) * sin(t) * cos(radians(315) - atan2(-gx, -gy)))) AS value, count
+  FROM (SELECT *, atan(sqrt(gx*gx+gy*gy) / (SELECT m FROM m)) AS t FROM g)"""
+
+
+@query(_final(_SHADE))
 def grid_hillshade(spark, d):
     return _rounded(grid.hillshade(_cells(spark, d), 10.0, 10.0))
 
@@ -432,7 +450,12 @@ def class_quantile(spark, d):
     return spark.createDataFrame(list(enumerate(found, 1)), "n bigint, brk double")
 
 
-@query()
+@query("""WITH RECURSIVE h(i, m, prev) AS (
+  SELECT 1, avg(o_totalprice), '-inf'::DOUBLE FROM orders
+  UNION ALL
+  SELECT i + 1, (SELECT avg(o_totalprice) FROM orders WHERE o_totalprice >= h.m), m FROM h
+  WHERE i < 5 AND (SELECT count(*) FROM orders WHERE o_totalprice >= h.m) < 0.4 * (SELECT count(*) FROM orders WHERE o_totalprice >= h.prev))
+  SELECT i::BIGINT AS n, round(m, 4) AS brk FROM h""")
 def class_headtail(spark, d):
     found = classify.breaks(t(spark, d, "orders"), "o_totalprice", "headtail", 6)
     return spark.createDataFrame([(i, round(b, 4)) for i, b in enumerate(found, 1)], "n bigint, brk double")
@@ -462,13 +485,16 @@ def cogp_levels_boxes(spark, d):
     return layout.cogp_levels(b, "bbox", [10.0, 5.0, 1.0], "row").select("l_orderkey", "l_linenumber", "level")
 
 
-@query()
+_BEST = [f"row_number() OVER (PARTITION BY floor(x / {4.0 * g}), floor(y / {4.0 * g}) ORDER BY c_custkey) = 1" for g in (20.0, 10.0, 5.0)]
+
+
+@query(f"SELECT (CASE WHEN a THEN 0 WHEN b THEN 1 WHEN c THEN 2 ELSE 3 END)::INT AS level, count(*) AS n FROM (SELECT {_BEST[0]} AS a, {_BEST[1]} AS b, {_BEST[2]} AS c FROM {POINTS}) GROUP BY 1")
 def cogp_levels_points(spark, d):
     p = points(spark, d).withColumn("bbox", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")))
-    return layout.cogp_levels(p, "bbox", [20.0, 10.0, 5.0, 1.0], "c_custkey").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return layout.cogp_levels(p, "bbox", [20.0, 10.0, 5.0, 1.0], "c_custkey", rank="c_custkey").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT round((SELECT count(*) FROM b a JOIN b c ON a.id <> c.id AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1) / (SELECT count(*) FROM b), 6) AS avg_overlaps FROM (SELECT 1)".replace("SELECT round(", f"WITH b AS (SELECT l_orderkey*10+l_linenumber AS id, x0, y0, x1, y1 FROM {BOXES} ORDER BY id LIMIT 1000) SELECT round(", 1))
+@query(f"SELECT round((SELECT count(*) FROM b a JOIN b c ON a.id <> c.id AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1) / (SELECT count(*) FROM b), 6) AS avg_overlaps FROM (SELECT 1)".replace("SELECT round(", f"WITH b AS (SELECT l_orderkey*10+l_linenumber AS id, x0, y0, x1, y1 FROM {BOXES} ORDER BY id LIMIT 4096) SELECT round(", 1))
 def bbox_overlap_metric(spark, d):
     b = boxes(spark, d).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return layout.overlap_metric(b, "x0", "y0", "x1", "y1", "id").select(F.round("avg_overlaps", 6).alias("avg_overlaps"))
@@ -476,16 +502,17 @@ def bbox_overlap_metric(spark, d):
 
 @query("SELECT k AS part, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN NULL ELSE c_mktsegment || '/' || (c_custkey % 7)::VARCHAR END AS k FROM customer) GROUP BY 1")
 def hive_partition_roundtrip(spark, d):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/terrane-parts-{uuid.uuid4().hex}"
+    path = shared_path(spark, "parts")
     k = F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 7 == 1, F.lit(None)).otherwise(F.concat_ws("/", "c_mktsegment", F.col("c_custkey") % 7))
     layout.write_partitioned(t(spark, d, "customer").select("c_custkey", k.alias("part")), ["part"], path)
     return layout.read_partitioned(spark, path, ["part"]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_PATHS = [f"'{d}/' || floor(x / {256.0 / 2**d})::BIGINT || '/' || floor(y / {256.0 / 2**d})::BIGINT" for d in range(6)]
+
+
+@query(f"""SELECT CASE {" ".join(f"WHEN n{d} <= 200 THEN p{d}" for d in range(5))} ELSE p5 END AS part, count(*) AS n FROM (
+  SELECT *, {", ".join(f"count(*) OVER (PARTITION BY p{d}) AS n{d}" for d in range(5))} FROM (SELECT {", ".join(f"{p} AS p{d}" for d, p in enumerate(_PATHS))} FROM {POINTS})) GROUP BY 1""")
 def adaptive_split(spark, d):
     p = points(spark, d)
     return layout.adaptive_split(p, F.col("x"), F.col("y"), 256.0, 200, 5).groupBy("part").agg(F.count(F.lit(1)).alias("n"))

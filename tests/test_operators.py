@@ -67,7 +67,13 @@ def test_class_breaks(spark):
     assert classify.breaks(df, "v", "quantile", 4) == [3, 100, 102]
     assert classify.breaks(df, "v", "jenks", 3) == [100, 1000]
     assert classify.breaks(df, "v", "headtail", 5)[0] == pytest.approx(1313 / 8)
-    assert classify.breaks(df.where("v = 1"), "v", "equal", 3) == []
+    # The mean is in the head, which therefore never is empty; a head of 40 % or more ends the list.
+    assert classify.breaks(spark.createDataFrame([(1.0,), (1.0,), (4.0,)], "v double"), "v", "headtail", 5) == [2]
+    same = df.where("v = 1")
+    assert classify.breaks(same, "v", "equal", 4) == classify.breaks(same, "v", "headtail", 4) == [1.25, 1.5, 1.75]
+    assert classify.breaks(same, "v", "quantile", 4) == [1, 1, 1] and classify.breaks(same, "v", "geometric", 3) == pytest.approx([4 / 3, 5 / 3])
+    assert classify.breaks(spark.createDataFrame([(1.0,), (1.0,), (1.0,), (7.0,)], "v double"), "v", "quantile", 4) == [1, 1, 7]
+    assert classify.breaks(df.where("v < 0"), "v", "quantile", 4) == [0.25, 0.5, 0.75]
     bins = [r[0] for r in df.select(classify.bin_of("v", [3, 100])).collect()]
     assert bins == [0, 0, 1, 1, 2, 2, 2, 2, 0, 0]
     assert [r[0] for r in df.select(classify.category_of("v", ["2.0"])).limit(2).collect()] == [63, 0]
@@ -222,5 +228,95 @@ def test_scorecard_and_split_beyond_4096(spark, monkeypatch):
     assert card["overlaps"] == 4095 and card["C2"] == "fail"
     monkeypatch.setattr(layout, "MAX_PARTS", 2)
     df = spark.range(400).selectExpr("(id % 4) * 2 + 0.5D as x", "0.5D as y")
-    parts = layout.adaptive_split(df, F.col("x"), F.col("y"), 8.0, 50, 3).groupBy("part").count().collect()
-    assert len(parts) == 4 and all(r.part.startswith("3/") for r in parts)
+    with pytest.raises(ValueError):
+        layout.adaptive_split(df, F.col("x"), F.col("y"), 8.0, 50, 3)
+    monkeypatch.setattr(layout, "MAX_PARTS", 4)
+    rows = layout.adaptive_split(df.union(spark.sql("SELECT NULL, 1D")), F.col("x"), F.col("y"), 8.0, 50, 3)
+    assert {r.part: r["count"] for r in rows.groupBy("part").count().collect()} == {f"3/{i}/0": 100 for i in (0, 2, 4, 6)} | {None: 1}
+
+
+def test_light_comes_from_the_azimuth(spark):
+    rising = cells(spark, [(x, y, 5 * y) for x in range(5) for y in range(5)])  # higher to the north: faces south
+    south, north = (values(grid.hillshade(rising, 1.0, 1.0, a))[2, 2] for a in (180.0, 0.0))
+    assert south > 250 and north < 5
+    east = cells(spark, [(x, y, -3 * x) for x in range(5) for y in range(5)])  # falls to the east
+    assert values(grid.hillshade(east, 1.0, 1.0, 90.0))[2, 2] > 250 > 5 > values(grid.hillshade(east, 1.0, 1.0, 270.0))[2, 2]
+
+
+def test_grids_take_finite_values_only(spark):
+    inf = float("inf")
+    rows = [(1.0, 1.0, 5.0, 1), (inf, 1.0, 5.0, 2), (1.0, 1.0, inf, 3), (1.0, -inf, 5.0, 4), (1.0, float("nan"), 5.0, 5), (1.0, None, 5.0, 6), (1.0, 1.0, None, 7)]
+    df = spark.createDataFrame(rows, "x double, y double, v double, id int")
+    assert [tuple(r) for r in grid.summarise(grid.point_weights(df, "x", "y", "v", 2.0, 2.0), "sum", 2.0, 2.0).collect()] == [(0, 0, 5.0, 1.0)]
+    boxed = df.withColumn("x1", F.col("x") + 0.5).withColumn("y1", F.col("y") + 0.5)
+    assert [tuple(r) for r in grid.summarise(grid.box_weights(boxed, ("x", "y", "x1", "y1"), "v", 2.0, 2.0, "id"), "sum", 2.0, 2.0).collect()] == [(0, 0, 5.0, 1.0)]
+
+
+def test_points_on_an_edge_are_not_contained(spark):
+    from terrane.functions.spatial import st
+
+    areas = spark.createDataFrame([(1, 0.0), (2, 4.0)], "id int, x double").select("id", st("st_makeenvelope", F.col("x"), F.lit(0.0), F.col("x") + 4, F.lit(4.0)).alias("g"))
+    p = spark.createDataFrame([(2.0, 2.0), (4.0, 2.0), (5.0, 2.0), (5.0, 2.0), (5.0, 4.0), (None, 1.0)], "x double, y double")
+    got = relational.first_containing(p, areas, "x", "y", "id", "g", "id", 3.0).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2.0, 2.0, 1), (4.0, 2.0, None), (5.0, 2.0, 2), (5.0, 2.0, 2), (5.0, 4.0, None), (None, 1.0, None)], key=str)
+
+
+def test_spatial_join_against_all_pairs(spark):
+    import random
+
+    from terrane.functions.spatial import st
+
+    r = random.Random(4)
+    sides = [[(i, r.uniform(-9, 9), r.uniform(-9, 9), r.choice([0.0, 1.0, 6.0]), r.choice([0.0, 2.0])) for i in range(60)] for _ in range(2)]
+    a, b = (spark.createDataFrame(s, "id int, x double, y double, w double, h double").withColumn("g", st("st_makeenvelope", F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))) for s in sides)
+    a, b = a.where("w > 0 and h > 0"), b.where("w > 0 and h > 0")
+    flat = [[s for s in side if s[3] and s[4]] for side in sides]
+    meets = lambda p, q, by: p[1] - by <= q[1] + q[3] and q[1] <= p[1] + p[3] + by and p[2] - by <= q[2] + q[4] and q[2] <= p[2] + p[4] + by
+    got = sorted((x.left.id, x.right.id) for x in relational.spatial_join(a, b, "st_intersects", "g", "g", 2.5).collect())
+    assert got == sorted((p[0], q[0]) for p in flat[0] for q in flat[1] if meets(p, q, 0))
+    gap = lambda p, q: sum(max(0.0, p[i] - q[i] - q[i + 2], q[i] - p[i] - p[i + 2]) ** 2 for i in (1, 2)) ** 0.5
+    got = sorted((x.left.id, x.right.id) for x in relational.spatial_join(a, b, "st_dwithin", "g", "g", 2.5, distance=1.5).collect())
+    assert got == sorted((p[0], q[0]) for p in flat[0] for q in flat[1] if gap(p, q) <= 1.5)
+
+
+def thinned(points, sides):
+    """Level by level, the smallest id of each cell that holds no earlier winner."""
+    level, won = {}, []
+    for i, side in enumerate(sides):
+        cell = lambda p: (p[1] // side, p[2] // side)  # noqa: B023, E731
+        taken, new = {cell(p) for p in won}, {}
+        for p in sorted(points):
+            if p[0] not in level and cell(p) not in taken:
+                new.setdefault(cell(p), p)
+        for p in new.values():
+            level[p[0]] = i
+            won.append(p)
+    return level
+
+
+@pytest.mark.parametrize("gsds", [[8.0, 4.0, 2.0, 0.5], [7.0, 4.0, 3.0, 0.5]])
+def test_levels_of_points_against_brute_force(spark, gsds):
+    import random
+
+    r = random.Random(2)
+    points = [(i, float(r.randrange(64)), float(r.randrange(64))) for i in range(200)]
+    df = spark.createDataFrame(points, "id int, x double, y double").select("id", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")).alias("bbox"))
+    want = thinned(points, [4 * g for g in gsds[:-1]])
+    assert {x.id: x.level for x in layout.cogp_levels(df, "bbox", gsds, "id", rank="id").collect()} == {p[0]: want.get(p[0], 3) for p in points}
+
+
+def test_all_zoom_levels_are_planned_at_once(spark):
+    df = spark.range(50).select("id", F.struct(*[(F.col("id") * 1000.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("bbox"))
+    plan = layout.cogp_levels(df, "bbox", layout.web_mercator_gsds(), "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 2
+
+
+def test_row_groups_hold_the_rows_asked_for(spark, tmp_path):
+    from terrane.functions.spatial import st
+
+    df = spark.range(25_000).select("id", st("st_point", F.col("id") % 250, F.floor(F.col("id") / 250)).alias("geometry"))
+    layout.write_geoparquet(df, "geometry", str(tmp_path / "a"), row_group_rows=12_000, files=1)
+    assert [g["rows"] for g in layout.footer(str(tmp_path / "a"))] == [12_000, 12_000, 1_000]
+    layout.write_geoparquet(df, "geometry", str(tmp_path / "b"), row_group_rows=12_000, files=1, row_group_bytes=100_000)
+    groups = layout.footer(str(tmp_path / "b"))
+    assert sum(g["rows"] for g in groups) == 25_000 and max(g["rows"] for g in groups) < 2_000
