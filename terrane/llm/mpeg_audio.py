@@ -59,6 +59,14 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """The format's CRC-16 of the first bits of data."""
+    for i in range(bits):
+        top = crc >> 15 ^ data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # as in the bits: 3 is MPEG-1, 2 is MPEG-2, 0 is MPEG-2.5
@@ -69,6 +77,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    joint: int = 0  # in joint stereo, the subbands that channels do not share; 0 otherwise
 
     @property
     def side_info(self) -> int:
@@ -90,7 +99,52 @@ def header_at(data: bytes, at: int) -> Header | None:
     kbps, hz, samples = BITRATES[low, layer][bits], RATES[version][rate], SAMPLES[low, layer]
     pad = b2 >> 1 & 1
     length = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
-    return Header(version, layer, not b1 & 1, kbps, hz, b3 >> 6 == 3, length, samples)
+    joint = 4 * ((b3 >> 4 & 3) + 1) if b3 >> 6 == 1 else 0
+    return Header(version, layer, not b1 & 1, kbps, hz, b3 >> 6 == 3, length, samples, joint)
+
+
+# Fixed values of layer II: runs of (subbands, bits of an allocation) by table.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+
+
+def checked_bits(body: bytes, header: Header) -> int:
+    """How many bits after a frame's checksum it covers; -1 if the frame ends before.
+
+    Layer I: the allocations of 32 subbands. Layer II: the allocations and two bits for each that is not zero. Layer III: the side information.
+    """
+    if header.layer == 3:
+        bits = 8 * header.side_info
+    elif header.layer == 1:
+        shared = 32 if header.mono else header.joint
+        bits = 4 * (32 if header.mono else 64 if not shared else shared + 32)
+    else:
+        each = header.kbps if header.mono else header.kbps // 2
+        if header.version != 3:
+            table = "low"
+        elif each <= 48:
+            table = "d" if header.rate == 32000 else "c"
+        else:
+            table = "a" if header.rate == 48000 or each <= 80 else "b"
+        widths = [w for n, w in ALLOCATIONS[table] for _ in range(n)]
+        at = used = 0
+        word, size = int.from_bytes(body, "big"), 8 * len(body)
+        for subband, width in enumerate(widths):
+            apart = not header.mono and (not header.joint or subband < header.joint)
+            for _ in range(2 if apart else 1):
+                if at + width > size:
+                    return -1
+                value = word >> (size - at - width) & ((1 << width) - 1)
+                # A shared allocation has a scale selection for each channel.
+                used += (value > 0) * (1 if apart or header.mono else 2)
+                at += width
+        bits = at + 2 * used
+    return bits if bits <= 8 * len(body) else -1
+
+
+def check_holds(frame: bytes, header: Header) -> bool:
+    """Whether a protected frame's checksum is that of its header's last two bytes and the bits it covers."""
+    bits = checked_bits(frame[6 : 6 + 128], header)
+    return bits >= 0 and crc16_bits(frame[6:], bits, crc16_bits(frame[2:4], 16)) == frame[4] << 8 | frame[5]
 
 
 @dataclass
@@ -130,19 +184,17 @@ def _tags(data: bytes) -> tuple[dict[str, str], int]:
 
 
 def _table(frame: bytes, header: Header) -> dict:
-    """The variable-bitrate table in a stream's first frame, if it holds one."""
+    """The variable-bitrate table in a stream's first frame, if it holds one; of a table cut short, what is there."""
     for shift in (2, 0) if header.protected else (0,):
         i = 4 + shift + header.side_info
-        if frame[i : i + 4] in (b"Xing", b"Info"):
+        if frame[i : i + 4] in (b"Xing", b"Info") and len(frame) >= i + 8:
             out: dict = {"kind": frame[i : i + 4].decode()}
             flags, i = struct.unpack(">I", frame[i + 4 : i + 8])[0], i + 8
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    out[name], i = struct.unpack(">I", frame[i : i + 4])[0], i + 4
-            if flags & 4:
-                out["toc"] = frame[i : i + 100]
+            for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+                if flags & bit and len(frame) >= i + size:
+                    out[name], i = frame[i : i + size] if bit == 4 else struct.unpack(">I", frame[i : i + 4])[0], i + size
             return out
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:
         size, frames = struct.unpack(">II", frame[46:54])
         return {"kind": "VBRI", "bytes": size, "frames": frames}
     return {}
@@ -183,6 +235,9 @@ def parse(data: bytes) -> Stream:
                 bad = crc16(np.concatenate([block[:, 2:4], block[:, 6 : 6 + head.side_info]], axis=1)) != want
                 out.checked += n
                 out.bad_checks += int(bad.sum())
+            elif head.protected:
+                out.checked += n
+                out.bad_checks += sum(not check_holds(data[i : i + head.length], head) for i in range(at, at + n * head.length, head.length))
             out.header = out.header or head
             at += n * head.length
             sync = True

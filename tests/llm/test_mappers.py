@@ -140,6 +140,54 @@ def test_audio_parser_resynchronises_and_checks():
         assert mpeg_audio.parse(junk).duration >= 0
 
 
+def test_tables_cut_short_are_no_error():
+    """Frames of every version and layer that name a table but end before or within it."""
+    r = random.Random(3)
+    seen = 0
+    for b1 in range(0xE0, 0x100):
+        for b2 in range(0, 256, 4):
+            head = bytes([0xFF, b1, b2, r.choice([0, 0x40, 0x50, 0xC0])])
+            h = mpeg_audio.header_at(head, 0)
+            if h is None or h.length < 4:
+                continue
+            for mark in (b"Xing", b"Info", b"VBRI"):
+                for place in (36, 4 + h.side_info, 6 + h.side_info):
+                    frame = (head + bytes(place - 4) + mark + b"\xff" * 8 + bytes(3000))[: h.length]
+                    s = mpeg_audio.parse(frame * 2)
+                    assert len(s.offsets) + bool(s.table) == 2
+                    seen += 1
+    assert seen > 1000
+
+
+def serial_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1) ^ (0x18005 if (crc >> 15 & 1) != b else 0)
+        crc &= 0xFFFF
+    return crc
+
+
+@pytest.mark.parametrize("head,bits", [
+    (b"\xff\xfe\xa4\xc0", 4 * 32),  # layer I, mono: 32 allocations of 4 bits
+    (b"\xff\xfe\xa4\x00", 4 * 64),  # stereo
+    (b"\xff\xfe\xa4\x50", 4 * (2 * 8 + 24)),  # joint stereo, 8 subbands apart
+    (b"\xff\xfc\x84\xc0", 44 + 36 + 8 + 2 * 27),  # layer II, 48 kHz, 128 kbit/s mono, every allocation used: 27 selections
+    (b"\xff\xfc\x24\xc0", 8 + 18 + 2 * 8),  # 48 kbit/s: the table of 8 subbands
+    (b"\xff\xf4\x84\xc0", 16 + 21 + 38 + 2 * 30),  # MPEG-2
+])
+def test_checksums_of_layers_one_and_two(head, bits):
+    """Bodies of ones: all allocations are used. The checksum is made here bit by bit."""
+    h = mpeg_audio.header_at(head, 0)
+    covered = [int(b) for x in head[2:4] for b in f"{x:08b}"] + [1] * bits
+    frame = head + serial_crc(covered).to_bytes(2, "big") + b"\xff" * (h.length - 6)
+    s = mpeg_audio.parse(frame * 3)
+    assert (len(s.offsets), s.checked, s.bad_checks) == (3, 3, 0)
+    bad = bytearray(frame)
+    bad[7] ^= 1
+    s = mpeg_audio.parse(frame + bytes(bad) + frame)
+    assert (s.checked, s.bad_checks) == (3, 1)
+
+
 def brute(text, items, n=10):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, found = set(), set()
