@@ -13,6 +13,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -87,11 +88,20 @@ class Finding:
 
 def candidates(text: str) -> list[Finding]:
     """Proposed secrets in order, without overlaps: issuers' formats first, then assigned values, then long runs."""
-    taken: list[Finding] = []
+    issued: list[Finding] = []
+    values: list[Finding] = []  # both in order and without overlaps
 
     def gaps(a: int, b: int) -> list[tuple[int, int]]:
         """What of a value no finding covers, in pieces that are long enough for values; none if its beginning is covered."""
-        met = sorted((f.begin, f.end) for f in taken if f.begin < b and f.end > a)
+        met = []
+        for known in (issued, values):
+            i = bisect_right(known, a, key=lambda f: f.begin) - 1
+            i = max(i, 0)
+            while i < len(known) and known[i].begin < b:
+                if known[i].end > a:
+                    met.append((known[i].begin, known[i].end))
+                i += 1
+        met.sort()
         if met and met[0][0] <= a:
             return []
         ends = [a, *(x for f in met for x in f), b]
@@ -107,14 +117,15 @@ def candidates(text: str) -> list[Finding]:
                 closed, at = close is not None, close.end() if close else a + 1
                 if not closed:
                     continue
-            taken.append(Finding(a, at, m.lastgroup))
+            issued.append(Finding(a, at, m.lastgroup))
     stop = 0
     for sign in _SIGN.finditer(text):
         i = sign.start()
         if _NAME.search(text[max(0, i - 48) : i]) and (m := _VALUE.match(text, i)):
             a = m.start(1)
             stop = stop if a < stop else _REST.match(text, a).end()
-            taken += [Finding(*piece, "assigned") for piece in gaps(a, stop)]
+            values += [Finding(*piece, "assigned") for piece in gaps(a, stop)]
+    taken = issued + values
     known = {(f.begin, f.end) for f in taken}
     last = sorted(taken, key=lambda f: f.begin)
     at = 0
@@ -330,7 +341,10 @@ def scan_documents(docs: DataFrame, forest: Forest | None = None, least: float =
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """All documents, with their secrets replaced by a mark and n_chars, if there, brought up to date."""
+    """All documents, with their secrets replaced by a mark and n_chars, if there, brought up to date.
+
+    Null and empty texts stay as they are, repeated rows are redacted each, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
     at = docs.columns.index("text")
 
