@@ -385,7 +385,11 @@ def tag_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted, n_spans. Labels only serve to fit the model."""
+    """One row per row of docs: doc_id, held_out, score, predicted, n_spans. Labels only serve to fit the model.
+
+    Null and empty texts have no spans and the score of a text without toxic words; repeated rows are scored each. Where the labels to learn
+    from lack toxic or plain documents, all scores are equal. Columns besides those named are ignored; an empty table gives no rows.
+    """
     tagged = tag_documents(docs, train(docs, labels, held_out))
     return tagged.select(
         "doc_id", (crc32_of_id() % held_out[0] == held_out[1]).alias("held_out"), "score",
@@ -394,8 +398,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out))
+    """The documents that score below the threshold, with all their columns; repeated rows are judged each.
+
+    Null and empty texts are judged as texts without toxic words. Where the labels to learn from
+    lack toxic or plain documents, nothing tells them apart and all documents stay.
+    """
+    sample, weight = sample_of(docs, labels, held_out)
+    if len({toxic for _, toxic in sample}) < 2:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample, weight))
     at = docs.columns.index("text")
 
     def keep(batches):
