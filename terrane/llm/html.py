@@ -19,7 +19,7 @@ from terrane.llm.common import batch_of, id_type, map_batches, schema
 
 # Fixed values of HTML: elements without content, with raw text, that begin blocks, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math select".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -38,21 +38,23 @@ SELF_CLOSING = {  # an opening tag closes an open one of these, up to the neares
     "option": ({"option"}, {"select"}),
 }
 # Elements that are never the article's text, and names that mark such parts.
-DROPPED = frozenset("nav footer aside form button input select textarea script style noscript template iframe object embed svg math canvas audio video dialog head title menu".split())
+DROPPED = frozenset("nav footer aside form button input select textarea script style noscript template iframe object embed svg annotation annotation-xml canvas audio video dialog head title menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar advertisement".split())
 UNLIKELY = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|commentlist|comment-\w+|cookies?\w*|consent|disqus\w*|discussion|footer\w*|footnav|gdpr|"
-    r"header|masthead|menus?|menubar|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|popup|promo\w*|"
-    r"recommend\w*|related\w*|remark|replies|reply|respond|rss|search\w*|share|sharing|sharebar|shoutbox|side-?bar\w*|signup|skip|social\w*|sponsor\w*|"
-    r"subscribe\w*|taboola\w*|toolbar|widgets?|alert|disclaimer)(?:$|[-_ ])", re.I)
+    r"(?:^|[-_ ])(?:ads?|advert\w*|breadcrumbs?|comments?|commentlist|comment-\w+|cookies?\w*|consent|disqus\w*|footer\w*|footnav|gdpr|"
+    r"masthead|menus?|menubar|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|popup|"
+    r"remark|replies|reply|respond|rss|share|sharing|sharebar|shoutbox|side-?bar\w*|signup|social\w*|"
+    r"subscribe\w*|taboola\w*|toolbar|alert|disclaimer)(?:$|[-_ ])", re.I)
+# Names that articles also give to their own sections: inside an article they count only for parts that are no prose.
+DOUBTFUL = re.compile(r"(?:^|[-_ ])(?:banner\w*|discussion|header|modal|promo\w*|recommend\w*|related\w*|search\w*|skip|sponsor\w*|widgets?)(?:$|[-_ ])", re.I)
 LIKELY = re.compile(r"(?:^|[-_ ])(?:article\w*|body|content|entry|main|page|post|text|story|hentry)(?:$|[-_ ])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _TAG_LAX = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-#: White space of HTML, no-break spaces included once references are decoded.
-_SPACE = re.compile(r"[\s\xa0​﻿]+")
+#: White space, no-break spaces included once references are decoded; zero-width characters are text.
+_SPACE = re.compile(r"\s+")
 _COMMAS = re.compile("[,،，、﹐؛;]")
 
 
@@ -158,7 +160,24 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     if node.tag in ("html", "body", "article", "main", "p", *HEADINGS):
         return False
     names = node.names
-    return bool(names and UNLIKELY.search(names) and not (LIKELY.search(names) and re.search(r"(?:^|[-_ ])(?:article|main|entry|story)", names)))
+    if not names or LIKELY.search(names) and re.search(r"(?:^|[-_ ])(?:article|main|entry|story)", names):
+        return False
+    return bool(UNLIKELY.search(names) or DOUBTFUL.search(names) and not (in_article and _prose(node)))
+
+
+def _prose(node: Node) -> bool:
+    """Whether most of a part's text is in paragraphs, and little of it in links."""
+    every, linked, told = 0, 0, 0
+    stack: list = [(node, False, False)]
+    while stack:
+        x, in_link, in_paragraph = stack.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                every, linked, told = every + n, linked + n * in_link, told + n * in_paragraph
+            else:
+                stack.append((c, in_link or c.tag == "a", in_paragraph or c.tag in ("p", "blockquote", "li", "dd", "pre")))
+    return every > 0 and told >= 0.5 * every and linked <= 0.3 * every
 
 
 def _prune(root: Node) -> None:
@@ -261,8 +280,8 @@ def _link_list(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl", "table", "div", "p") and node.chars > 0 and _density(node) > 0.66 and node.commas < 3 and sum(1 for x in _walk(node) if x.tag == "a") > 2
 
 
-def blocks_of(node: Node) -> list[str]:
-    """The text of each block below node, with white space runs as one blank."""
+def blocks_of(node: Node, links: bool = False) -> list[str]:
+    """The text of each block below node, with white space runs as one blank. Lists of links are left out unless links is set."""
     out: list[str] = []
     run: list[str] = []
 
@@ -279,7 +298,7 @@ def blocks_of(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x is not node and _link_list(x):
+        elif not links and x is not node and _link_list(x):
             flush()
         elif x.tag in ("br", "wbr", "img", "hr"):
             if x.tag == "hr":
@@ -297,7 +316,11 @@ def blocks_of(node: Node) -> list[str]:
 
 
 def main_text(source: str | None) -> str:
-    """The article's blocks joined by a blank line. Empty for null, empty and text-free pages; plain text is its own article."""
+    """The article's blocks joined by a blank line. Empty for null, empty and text-free pages; plain text is its own article.
+
+    Inside an article or main element nothing goes but what is never the article's: navigation, forms, asides, parts with
+    telling names (of a doubtful name only what is no prose), and of a header all but its headings. Lists of links and formulas stay.
+    """
     if not source or not source.strip():
         return ""
     root = parse(source)
@@ -306,9 +329,10 @@ def main_text(source: str | None) -> str:
     best = best_container(order) or next((x for x in order if x.tag in ("article", "main")), None) or next((x for x in order if x.tag == "body"), root)
     # An article or main element that holds the best container holds the whole text.
     outer = [x for x in _line(best) if x.tag == "article"] or [x for x in _line(best) if x.tag == "main"]
-    if outer and _density(outer[0]) < 0.5:
+    own = bool(outer) and _density(outer[0]) < 0.5
+    if own:
         best = outer[0]
-    return "\n\n".join(b for x in _kept(best) for b in blocks_of(x))
+    return "\n\n".join(b for x in _kept(best) for b in blocks_of(x, links=own and x is best))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -266,6 +266,49 @@ def test_page_text():
         html.main_text(broken)
 
 
+LONG = "A sentence of the article, with commas, and long enough to count as prose in any scoring. " * 3
+
+#: What stands inside an article between two paragraphs, and the blocks it gives.
+PARTS = [
+    ("<ul><li><a href=a>First reference</a><li><a href=b>Second one</a><li><a href=c>Third one</a></ul>", ["First reference", "Second one", "Third one"]),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["So x=2 holds"]),
+    ("<math><semantics><mi>y</mi><annotation>y</annotation></semantics></math>", ["y"]),
+    (f'<div class=searching><p>{LONG}</p></div>', [LONG.strip()]),
+    (f'<div class=related-work><h2>Related work</h2><p>{LONG}</p></div>', ["Related work", LONG.strip()]),
+    (f'<section id=discussion><p>{LONG}</p></section>', [LONG.strip()]),
+    ("<p>zero\u200bwidth</p>", ["zero\u200bwidth"]),
+    ("<p>a&nbsp;&#x20;b\t\n c</p>", ["a b c"]),
+    ("<blockquote>quoted, in full</blockquote>", ["quoted, in full"]),
+    ("<table><tr><td>1<td>2</table>", ["1", "2"]),
+    ("<pre>code  here</pre>", ["code here"]),
+    ("<h3>Sub &lt;head&gt;</h3>", ["Sub <head>"]),
+    ("<dl><dt>term<dd>what it means</dl>", ["term", "what it means"]),
+    ("<figure><img src=x><figcaption>A caption</figcaption></figure>", ["A caption"]),
+    ("one<br>two", ["one two"]),
+    ('<div class="related"><a href=a>Other</a> <a href=b>stories</a></div>', []),
+    ("<div class=share><p>share this, please, with all of your friends</p></div>", []),
+    (f"<div class=comments><p>{LONG}</p></div>", []),
+    (f"<div id=sidebar><p>{LONG}</p></div>", []),
+    ("<div class=ad>buy now</div>", []),
+    ("<div class=notice>we use cookies</div>", []),
+    ("<nav><a href=x>next</a></nav>", []),
+    ("<form><p>mail</p><input name=x></form>", []),
+    ("<script>var a = '</p>'</script><style>p { }</style>", []),
+    ("<!-- <p>hidden</p> -->", []),
+    ("<p hidden>unseen</p><p style='display: none'>unseen</p>", []),
+    ("<header><h2>Part</h2><p>by line</p></header>", ["Part"]),
+    ("<aside><p>aside</p></aside>", []),
+    ("<svg><text>drawn</text></svg><noscript>turn it on</noscript>", []),
+    ("<footer>2020</footer>", []),
+]
+
+
+@pytest.mark.parametrize("part,blocks", PARTS)
+def test_parts_of_an_article(part, blocks):
+    page = f"<html><body><header>site</header><nav><a href=/>home</a></nav><article><p>{LONG}</p>{part}<p>last, {LONG}</p></article><footer>foot</footer></body></html>"
+    assert html.main_text(page).split("\n\n") == [LONG.strip(), *blocks, f"last, {LONG}".strip()]
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9), (None, "u", "", 9)], "page_id bigint, url string, html string, text int")
     rows = html.extract_pages(pages).collect()
