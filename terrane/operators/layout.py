@@ -189,12 +189,25 @@ def geo_document(primary: str, types: list[str], bbox: tuple | None, projjson=No
     return json.dumps({"version": "1.1.0", "primary_column": primary, "columns": {primary: column}})
 
 
+def store_of(path: str):
+    """The pyarrow file system of a path or address, and the path in it."""
+    import os
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: int = 65_536, sort: bool = True, files: int | None = None, row_group_bytes: int = 128 << 20) -> dict:
     """Write a GeoParquet 1.1 dataset with a covering and, if sorted, in Hilbert order; path must be a folder all executors reach.
 
-    Each task writes one file to a staging name and renames it. Row groups hold row_group_rows rows, or fewer where those
-    would be more than row_group_bytes. Returns rows and files.
+    Files go to a staging folder beside path, which takes its name when all are there: a failed job leaves nothing, a task that
+    runs again replaces its own file. A folder with files in it is refused. Row groups hold row_group_rows rows, or fewer where
+    those would be more than row_group_bytes. Returns rows and files.
     """
+    from pyarrow import fs
     from pyspark.sql.pandas.types import to_arrow_schema
 
     covering = covered(df, geometry)
@@ -205,18 +218,21 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
     elif files:
         out = out.repartition(files)
     target = to_arrow_schema(out.schema)
+    store, base = store_of(path)
+    base = base.rstrip("/")
+    if store.get_file_info(base).type != fs.FileType.NotFound and store.get_file_info(fs.FileSelector(base)):
+        raise FileExistsError(path)
+    staging = f"{base}.{uuid.uuid4().hex}.partial"
 
     def write(batches):
-        import os
-
         import pyarrow as pa
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
         from terrane.functions import wkb
 
-        os.makedirs(path, exist_ok=True)
-        final = f"{path}/part-{TaskContext.get().partitionId():05d}.parquet"
+        here, _ = store_of(path)
+        final = f"{staging}/part-{TaskContext.get().partitionId():05d}.parquet"
         staged = f"{final}.{uuid.uuid4().hex}.partial"
         types, bounds, rows, writer = set(), None, 0, None
         at = target.get_field_index(geometry)
@@ -231,7 +247,7 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
             if table.nbytes > row_group_bytes:
                 n = max(1, min(n, table.num_rows * row_group_bytes // table.nbytes))
             end = table.num_rows if everything else table.num_rows // n * n
-            writer = writer or pq.ParquetWriter(staged, target, compression="zstd", write_page_index=True)
+            writer = writer or pq.ParquetWriter(staged, target, filesystem=here, compression="zstd", write_page_index=True)
             for start in range(0, end, n):
                 writer.write_table(table.slice(start, min(n, end - start)), row_group_size=n)
             if end < table.num_rows:
@@ -254,25 +270,37 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
         if writer is not None:
             writer.add_key_value_metadata({"geo": geo_document(geometry, list(types), bounds, covering=box)})
             writer.close()
-            os.replace(staged, final)
+            here.move(staged, final)
             yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
 
-    counts = out.mapInArrow(write, "rows long").agg(F.sum("rows"), F.count("rows")).first()
-    if not counts[0]:
-        raise ValueError("no rows to export")
+    store.create_dir(staging)
+    try:
+        counts = out.mapInArrow(write, "rows long").agg(F.sum("rows"), F.count("rows")).first()
+        if not counts[0]:
+            raise ValueError("no rows to export")
+        # What tasks that were lost on the way left behind.
+        for left in store.get_file_info(fs.FileSelector(staging)):
+            if left.path.endswith(".partial"):
+                store.delete_file(left.path)
+        if store.get_file_info(base).type != fs.FileType.NotFound:
+            store.delete_dir(base)
+        store.move(staging, base)
+    except BaseException:
+        store.delete_dir(staging)
+        raise
     return {"rows": counts[0], "files": counts[1]}
 
 
 def footer(path: str) -> list[dict]:
-    """Each row group of a local dataset: file, rows, bytes, codec of the geometry and its box from the covering's statistics."""
-    import glob
-    import os
-
+    """Each row group of a dataset: file, rows, bytes, codec of the geometry and its box from the covering's statistics."""
     import pyarrow.parquet as pq
+    from pyarrow import fs
 
+    store, base = store_of(path)
+    inside = store.get_file_info(fs.FileSelector(base)) if store.get_file_info(base).type == fs.FileType.Directory else [store.get_file_info(base)]
     out = []
-    for p in sorted(glob.glob(f"{path}/*.parquet")) if os.path.isdir(path) else [path]:
-        meta = pq.ParquetFile(p).metadata
+    for p in sorted(f.path for f in inside if f.path.endswith(".parquet") or len(inside) == 1):
+        meta = pq.read_metadata(p, filesystem=store)
         geo = json.loads((meta.metadata or {}).get(b"geo", b"{}"))
         primary = geo.get("primary_column")
         cover = next(iter(((geo.get("columns") or {}).get(primary, {}).get("covering") or {}).get("bbox", {"": [None]}).values()))[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,3 +176,30 @@ def colours_cover(df: DataFrame, column: str, table: dict, least: float = 0.9) -
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct()
     n, known = values.agg(F.count(F.lit(1)), F.count(F.when(F.col("v").isin(*table), 1))).first()
     return n > 0 and known >= least * n
+
+
+def per_area(df: DataFrame, value: str, geometry: str, latlong: bool) -> DataFrame:
+    """df with per_area: the value by square metre of ground where coordinates are degrees, else by square unit; null without an area."""
+    from terrane.functions import wkb
+    from terrane.functions.spatial import st
+
+    @F.pandas_udf("double")
+    def on_ground(g: pd.Series) -> pd.Series:
+        def area(shape):
+            if shape is None or shape[0] not in ("Polygon", "MultiPolygon"):
+                return 0.0
+            return sum(ground_area(p) for p in ([shape[1]] if shape[0] == "Polygon" else shape[1]))
+
+        return pd.Series([area(wkb.decode(b)) for b in g], dtype="float64")
+
+    area = on_ground(geometry) if latlong else st("st_area", geometry)
+    return df.withColumn("per_area", F.when(area > 0, F.col(value) / area))
+
+
+def tsv(df: DataFrame, geometry: str | None = None) -> DataFrame:
+    """A column line: each row's values between tabs, the geometry as WKT; tabs and line ends inside values become blanks, nulls empty."""
+    from terrane.functions.spatial import st
+    from terrane.operators.relational import quoted
+
+    text = [(st("st_astext", F.col(quoted(c))) if c == geometry else F.col(quoted(c))).cast("string") for c in df.columns]
+    return df.select(F.concat_ws("\t", *[F.coalesce(F.regexp_replace(v, "[\t\r\n]", " "), F.lit("")) for v in text]).alias("line"))

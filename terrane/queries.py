@@ -508,6 +508,25 @@ def hive_partition_roundtrip(spark, d):
     return layout.read_partitioned(spark, path, ["part"]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""SELECT l_orderkey, l_linenumber, x0, y1, (SELECT round(max(x1), 6) FROM {BOXES}) AS east FROM {BOXES} WHERE x0 <= 33 AND x1 >= 21 AND y0 <= 6 AND y1 >= 3""")
+def geoparquet_viewport(spark, d):
+    from terrane.sources import geoparquet
+
+    path = shared_path(spark, "layer")
+    layout.write_geoparquet(boxes(spark, d).select("l_orderkey", "l_linenumber", "x0", "y1", "geometry"), "geometry", path)
+    layer = geoparquet.open_layer(spark, path)
+    return layer.within((21.0, 3.0, 33.0, 6.0)).select("l_orderkey", "l_linenumber", "x0", "y1", F.lit(round(layer.extent()[2], 6)).alias("east"))
+
+
+@query(f"SELECT c_custkey, x, y FROM {POINTS} WHERE x BETWEEN 50 AND 90 AND y BETWEEN 0 AND 40")
+def untagged_points_viewport(spark, d):
+    from terrane.sources import geoparquet
+
+    path = shared_path(spark, "plain")
+    points(spark, d).select("c_custkey", "x", "y").write.parquet(path)
+    return geoparquet.open_layer(spark, path).within((50.0, 0.0, 90.0, 40.0)).select("c_custkey", "x", "y")
+
+
 _PATHS = [f"'{d}/' || floor(x / {256.0 / 2**d})::BIGINT || '/' || floor(y / {256.0 / 2**d})::BIGINT" for d in range(6)]
 
 
@@ -536,6 +555,21 @@ def number_normalise(spark, d):
     return text.select("c_custkey", F.round(tabular.cast_as("a", "float"), 2).alias("plain"), F.round(tabular.cast_as("b", "float", decimal_comma=True), 2).alias("comma"))
 
 
+@query(r"""SELECT c_custkey, concat_ws(chr(9), c_custkey::VARCHAR, c_mktsegment, CASE WHEN c_custkey % 3 > 0 THEN 'a b' ELSE '' END, 'POINT(' || (c_custkey % 200)::VARCHAR || ' ' || c_nationkey::VARCHAR || ')') AS line FROM customer""")
+def rows_as_tsv(spark, d):
+    from terrane.operators import view
+
+    c = t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.lit("a\tb")).alias("note"), st("st_point", F.col("c_custkey") % 200, F.col("c_nationkey")).alias("geometry"))
+    return view.tsv(c, "geometry").select(F.split("line", "\t")[0].cast("bigint").alias("c_custkey"), "line")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice / ((x1 - x0) * (y1 - y0)) AS per_area FROM {BOXES}")
+def value_per_area(spark, d):
+    from terrane.operators import view
+
+    return view.per_area(boxes(spark, d), "l_extendedprice", "geometry", latlong=False).select("l_orderkey", "l_linenumber", "per_area")
+
+
 @query()
 def dcat_explode(spark, d):
     import json
