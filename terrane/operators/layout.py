@@ -12,6 +12,8 @@ from terrane.plans.storage import kept
 
 ORDER = 16
 MAX_PARTS = 4096
+# Metres of a degree of longitude at the equator, and of latitude.
+METRES_PER_DEGREE = (111_320.0, 110_540.0)
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -58,11 +60,14 @@ def covered(df: DataFrame, geometry: str) -> DataFrame:
     return df.withColumn(name, b)
 
 
-def cogp_levels(df: DataFrame, box: str, gsds: list[float], row: str, rank: str | None = None, polygon: float = 4.0, point: float = 4.0) -> DataFrame:
+def cogp_levels(df: DataFrame, box: str, gsds: list[float], row: str, rank: str | None = None, polygon: float = 4.0, point: float = 4.0, line: float = 2.0, kind: str | None = None, latlong: bool = False) -> DataFrame:
     """df with level: the coarsest of the scales (ground metres a pixel, falling) at which a row is shown.
 
-    A box goes to the first scale at which its diagonal is at least `polygon` pixels. Boxes without extent are thinned: at each scale one
-    row, the best by rank, size and a hash, wins each cell of `point` pixels that no earlier winner took. The rest goes to the finest.
+    A box goes to the first scale at which its diagonal is at least `polygon` pixels, or `line` pixels for lines. Points are thinned by
+    their box's centre: at each scale one row, the best by rank and a hash, wins each cell of `point` pixels that no earlier winner took.
+    The rest, and rows without a box, go to the finest. kind is a column of point, line and polygon; by it, a line or polygon without
+    extent goes to the first scale. Without it, boxes without extent are the points and there are no lines. latlong: boxes are in degrees,
+    lengths are taken at a box's own latitude, and cells lie on one plane for all, so that neighbours agree on their edges.
 
     Where scales divide each other, so that cells nest, a row's level is the first at which it is the best of its cell: an earlier winner of a
     larger cell is the best of all cells in it that hold it. One pass finds that for all scales. Other scales go one by one, stored in between.
@@ -70,15 +75,21 @@ def cogp_levels(df: DataFrame, box: str, gsds: list[float], row: str, rank: str
     if any(b >= a for a, b in zip(gsds, gsds[1:])):
         raise ValueError("scales must fall")
     w, h = F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin")
+    x, y = (F.col(f"{box}.xmin") + F.col(f"{box}.xmax")) / 2, (F.col(f"{box}.ymin") + F.col(f"{box}.ymax")) / 2
+    if latlong:
+        across = F.cos(F.radians(y)) * METRES_PER_DEGREE[0]
+        w, h, x, y = w * F.abs(across), h * METRES_PER_DEGREE[1], x * across, y * METRES_PER_DEGREE[1]
     diagonal = F.sqrt(w * w + h * h)
     last = len(gsds) - 1
+    pixels = F.when(F.col(kind) == "line", line).otherwise(polygon) if kind else F.lit(polygon)
     level = F.lit(last)
     for i in range(last, -1, -1):
-        level = F.when(diagonal >= polygon * gsds[i], i).otherwise(level)
-    sized = df.withColumn("level", F.when(diagonal > 0, level).when(diagonal.isNull(), last))
+        level = F.when(diagonal >= pixels * gsds[i], i).otherwise(level)
+    points = F.coalesce(F.col(kind) == "point", F.lit(False)) if kind else diagonal == 0
+    sized = df.withColumn("level", F.when(diagonal.isNull(), last).when(points, F.lit(None)).when(diagonal > 0, level).otherwise(0))
     out, left = sized.where("level is not null"), sized.where("level is null").drop("level")
     best = F.struct((F.col(rank) if rank else F.lit(0)).alias("r"), F.xxhash64(row).alias("h"), F.col(row).alias("id")).alias("o")
-    places = left.select(best, F.col(f"{box}.xmin").alias("x"), F.col(f"{box}.ymin").alias("y"))
+    places = left.select(best, x.alias("x"), y.alias("y"))
     nested = all((a / b).is_integer() for a, b in zip(gsds, gsds[1:]))
     won = _first_won(places, [point * g for g in gsds[:-1]]) if nested else _won_in_turn(places, [point * g for g in gsds[:-1]])
     won = won.select(F.col("id").alias(row), "level")
@@ -200,24 +211,36 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
-def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: int = 65_536, sort: bool = True, files: int | None = None, row_group_bytes: int = 128 << 20) -> dict:
+def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: int = 65_536, sort: bool = True, files: int | None = None, row_group_bytes: int = 128 << 20, compression: str = "zstd", covering: bool = True,
+                     crs: dict | None | str = "", gsds: list[float] | None = None) -> dict:
     """Write a GeoParquet 1.1 dataset with a covering and, if sorted, in Hilbert order; path must be a folder all executors reach.
 
     Files go to a staging folder beside path, which takes its name when all are there: a failed job leaves nothing, a task that
     runs again replaces its own file. A folder with files in it is refused. Row groups hold row_group_rows rows, or fewer where
-    those would be more than row_group_bytes. Returns rows and files.
+    those would be more than row_group_bytes. crs is a PROJJSON object, or None for an unknown one; left out, it is lon/lat.
+    With gsds, df has a column level as of cogp_levels(), which is not written: each file goes from its coarsest level to its finest,
+    no row group holds two, and the footer tells where each ends. Returns rows and files.
     """
+    import numpy as np
     from pyarrow import fs
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    covering = covered(df, geometry)
-    box = [c for c in covering.columns if c not in df.columns or c == "bbox"][-1]
-    out = hilbert_of_box(covering, box) if sort else covering
+    if gsds and not (sort and covering):
+        raise ValueError("levels need the sort and the covering")
+    boxed = covered(df, geometry) if covering or sort else df
+    box = [c for c in boxed.columns if c not in df.columns or c == "bbox"][-1] if covering or sort else None
+    out = hilbert_of_box(boxed, box) if sort else boxed
     if sort:
-        out = (out.repartitionByRange(files, F.col("hilbert").asc_nulls_last()) if files else out.repartitionByRange(F.col("hilbert").asc_nulls_last())).sortWithinPartitions(F.col("hilbert").asc_nulls_last()).drop("hilbert")
+        near = F.col("hilbert").asc_nulls_last()
+        ranges = out.repartitionByRange(files, near) if files else out.repartitionByRange(near)
+        out = ranges.sortWithinPartitions(*(["level"] if gsds else []), near).drop("hilbert")
     elif files:
         out = out.repartition(files)
-    target = to_arrow_schema(out.schema)
+    if box and not covering:
+        out = out.drop(box)
+    if gsds:
+        out = out.select(*[c for c in out.columns if c != "level"], F.col("level").alias("__level"))
+    target = to_arrow_schema(out.drop("__level").schema)
     store, base = store_of(path)
     base = base.rstrip("/")
     if store.get_file_info(base).type != fs.FileType.NotFound and store.get_file_info(fs.FileSelector(base)):
@@ -230,6 +253,7 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
         from pyspark import TaskContext
 
         from terrane.functions import wkb
+        from terrane.operators.view import cogp_document
 
         here, _ = store_of(path)
         final = f"{staging}/part-{TaskContext.get().partitionId():05d}.parquet"
@@ -237,19 +261,21 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
         types, bounds, rows, writer = set(), None, 0, None
         at = target.get_field_index(geometry)
         held: list = []
+        groups, current, ends = 0, 0, [0] * len(gsds or ())
 
         def flush(everything: bool) -> None:
             """Write full row groups, and what is left at the end."""
-            nonlocal writer
+            nonlocal writer, groups
             table = pa.Table.from_batches(held)
             held.clear()
             n = row_group_rows
             if table.nbytes > row_group_bytes:
                 n = max(1, min(n, table.num_rows * row_group_bytes // table.nbytes))
             end = table.num_rows if everything else table.num_rows // n * n
-            writer = writer or pq.ParquetWriter(staged, target, filesystem=here, compression="zstd", write_page_index=True)
+            writer = writer or pq.ParquetWriter(staged, target, filesystem=here, compression=compression, write_page_index=True)
             for start in range(0, end, n):
                 writer.write_table(table.slice(start, min(n, end - start)), row_group_size=n)
+                groups += 1
             if end < table.num_rows:
                 held.extend(table.slice(end).to_batches())
 
@@ -262,13 +288,26 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
                 if b:
                     bounds = b if bounds is None else (min(b[0], bounds[0]), min(b[1], bounds[1]), max(b[2], bounds[2]), max(b[3], bounds[3]))
             rows += part.num_rows
-            held.append(part)
-            if sum(p.num_rows for p in held) >= row_group_rows or sum(p.nbytes for p in held) >= row_group_bytes:
-                flush(False)
+            # Runs of one level; a batch is one run without levels.
+            marks = batch.column(len(target)).to_numpy() if gsds else np.zeros(part.num_rows)
+            starts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), part.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                if end > start and gsds and marks[start] != current:
+                    if held:
+                        flush(True)
+                    ends[current : marks[start]] = [groups] * (marks[start] - current)
+                    current = int(marks[start])
+                held.append(part.slice(start, end - start))
+                if sum(p.num_rows for p in held) >= row_group_rows or sum(p.nbytes for p in held) >= row_group_bytes:
+                    flush(False)
         if held:
             flush(True)
         if writer is not None:
-            writer.add_key_value_metadata({"geo": geo_document(geometry, list(types), bounds, covering=box)})
+            described = {"projjson": None if crs == "" else crs, "missing_crs": crs == ""}
+            writer.add_key_value_metadata({"geo": geo_document(geometry, list(types), bounds, covering=box if covering else None, **described)})
+            if gsds:
+                ends[current:] = [groups] * (len(ends) - current)
+                writer.add_key_value_metadata({"cogp": cogp_document(gsds, ends)})
             writer.close()
             here.move(staged, final)
             yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
@@ -296,12 +335,16 @@ def footer(path: str) -> list[dict]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
+    from terrane.operators.view import cogp_problems
+
     store, base = store_of(path)
     inside = store.get_file_info(fs.FileSelector(base)) if store.get_file_info(base).type == fs.FileType.Directory else [store.get_file_info(base)]
     out = []
     for p in sorted(f.path for f in inside if f.path.endswith(".parquet") or len(inside) == 1):
         meta = pq.read_metadata(p, filesystem=store)
         geo = json.loads((meta.metadata or {}).get(b"geo", b"{}"))
+        levels = (meta.metadata or {}).get(b"cogp")
+        problems = cogp_problems(levels.decode(errors="replace"), meta.num_row_groups) if levels else []
         primary = geo.get("primary_column")
         cover = next(iter(((geo.get("columns") or {}).get(primary, {}).get("covering") or {}).get("bbox", {"": [None]}).values()))[0]
         for g in range(meta.num_row_groups):
@@ -313,12 +356,12 @@ def footer(path: str) -> list[dict]:
                     stats[name] = col.statistics.min if name.endswith("min") else col.statistics.max
                 if col.path_in_schema == primary:
                     stats |= {"codec": col.compression, "indexed": col.has_offset_index}
-            out.append({"file": p, "rows": group.num_rows, "bytes": group.total_byte_size, "geo": geo, "box": tuple(stats[k] for k in ("xmin", "ymin", "xmax", "ymax")) if {"xmin", "ymin", "xmax", "ymax"} <= stats.keys() else None} | {k: stats.get(k) for k in ("codec", "indexed")})
+            out.append({"file": p, "rows": group.num_rows, "bytes": group.total_byte_size, "geo": geo, "box": tuple(stats[k] for k in ("xmin", "ymin", "xmax", "ymax")) if {"xmin", "ymin", "xmax", "ymax"} <= stats.keys() else None, "problems": problems} | {k: stats.get(k) for k in ("codec", "indexed")})
     return out
 
 
 def scorecard(path: str) -> dict:
-    """Checks C1 to C7 of a dataset by its footers, and whether it can be read by area: no gating check fails."""
+    """Checks C1 to C8 of a dataset by its footers (levels that are not there are no fault), and whether it can be read by area: no gating check fails."""
     groups = footer(path)
     boxes = [g["box"] for g in groups if g["box"]]
     n = len(boxes)
@@ -335,6 +378,7 @@ def scorecard(path: str) -> dict:
         "C5": "pass" if all(g["indexed"] for g in groups) else "warn",
         "C6": "warn" if any(g["codec"] == "UNCOMPRESSED" for g in groups) else "pass",
         "C7": "pass" if column.get("geometry_types") and column.get("bbox") else "warn",
+        "C8": "warn" if any(g.get("problems") for g in groups) else "pass",
     }
     return checks | {"overlaps": overlaps, "row_groups": len(groups), "rows": sum(g["rows"] for g in groups), "indexable": "fail" not in (checks["C1"], checks["C2"], checks["C3"])}
 

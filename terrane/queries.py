@@ -485,6 +485,16 @@ def cogp_levels_boxes(spark, d):
     return layout.cogp_levels(b, "bbox", [10.0, 5.0, 1.0], "row").select("l_orderkey", "l_linenumber", "level")
 
 
+_METRES = "sqrt(pow((x1-x0)/100 * 111320 * cos(radians((y0+y1)/200)), 2) + pow((y1-y0)/100 * 110540, 2))"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, (CASE WHEN m >= p * 10000 THEN 0 WHEN m >= p * 5000 THEN 1 WHEN m >= p * 3000 THEN 2 ELSE 3 END)::INT AS level FROM (SELECT *, {_METRES} AS m, CASE WHEN l_linenumber % 2 = 1 THEN 2 ELSE 4 END AS p FROM {BOXES})")
+def cogp_levels_degrees(spark, d):
+    b = boxes(spark, d).withColumn("bbox", F.struct(*[(F.col(c) / 100).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("xmin", "ymin", "xmax", "ymax"))]))
+    b = b.withColumn("kind", F.when(F.col("l_linenumber") % 2 == 1, "line").otherwise("polygon")).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return layout.cogp_levels(b, "bbox", [10000.0, 5000.0, 3000.0, 1.0], "row", kind="kind", latlong=True).select("l_orderkey", "l_linenumber", "level")
+
+
 _BEST = [f"row_number() OVER (PARTITION BY floor(x / {4.0 * g}), floor(y / {4.0 * g}) ORDER BY c_custkey) = 1" for g in (20.0, 10.0, 5.0)]
 
 

@@ -38,6 +38,7 @@ class Layer:
     covering: tuple[str, str, str, str, str] | None
     spherical: bool
     version: str | None
+    column: dict
 
     def box(self) -> list[Column]:
         """xmin, ymin, xmax, ymax of a row: stored numbers where there is a covering, else of the geometry."""
@@ -139,7 +140,7 @@ def layer_of(spark: SparkSession, df: DataFrame) -> Layer:
     geo = geo_of(footer_metadata(spark, df))
     if geo is None:
         found, name, _ = _untagged(df)
-        return Layer(found, name, crs_of.lookup("OGC:CRS84"), None, False, None)
+        return Layer(found, name, crs_of.lookup("OGC:CRS84"), None, False, None, {})
     name = geo.get("primary_column") or "geometry"
     if name not in df.columns:
         raise ValueError(f"geometry column {name!r} not found")
@@ -152,7 +153,7 @@ def layer_of(spark: SparkSession, df: DataFrame) -> Layer:
     elif encoding != "wkb":
         raise ValueError(f"geometry encoding {column.get('encoding')!r} is not known")
     known = crs_of.from_projjson(column.get("crs"), missing="crs" not in column)
-    return Layer(df, name, known, covering_of(column, df.schema), column.get("edges") == "spherical", geo.get("version"))
+    return Layer(df, name, known, covering_of(column, df.schema), column.get("edges") == "spherical", geo.get("version"), column)
 
 
 def open_layer(spark: SparkSession, *paths: str) -> Layer:

@@ -214,9 +214,10 @@ def test_command_line(spark, tmp_path, capsys):
 
     (tmp_path / "two.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": c}, "properties": {"region": r}} for c, r in (([2.35, 48.85], "north"), ([5.37, 43.3], "south"))]}))
     assert cli.main(["--input", str(tmp_path / "two.geojson"), "--output", str(tmp_path / "out"), "--files", "1"]) == 0
-    assert capsys.readouterr().out.strip().endswith("2 rows | 1 row groups | 1 file(s)")
+    assert capsys.readouterr().out.strip().endswith(" kB | 1 file(s)")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    for bad in (["--input", "a.geojson"], ["--input", "a.geojson", "--output", "o", "--layer", "x"], ["--input", "a.geojson", "--output", "o", "--row-group-size", "0"]):
+    for bad in (["--input", "a.geojson"], ["--input", "a.geojson", "--output", "o", "--layer", "x"], ["--input", "a.geojson", "--output", "o", "--row-group-size", "0"], ["--input", "a.geojson", "--output", "o", "--row-group-mib", "0"],
+                *[["--input", "a.geojson", "--output", "o", "--cogp", *more] for more in (["--no-hilbert"], ["--no-covering"], ["--partition-by", "k"])]):
         with pytest.raises(SystemExit):
             cli.options(bad)
 

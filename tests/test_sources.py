@@ -173,3 +173,59 @@ def test_view_box():
     x0, y0, x1, y1 = crs.view_box((0, 0, 111_319.49, 111_325.14), crs.lookup(3857), crs.lookup(4326))
     assert (x0, y0, x1, y1) == pytest.approx((-0.05, -0.05, 1.05, 1.05), abs=1e-4)
     assert crs.view_box((float("nan"),) * 4, crs.lookup(3857), crs.lookup(4326)) is None
+
+
+def test_levels_by_kind_and_degrees(spark):
+    def level(box, kind, **more):
+        df = spark.createDataFrame([(1, box and tuple(map(float, box)), kind)], "id long, b struct<xmin: double, ymin: double, xmax: double, ymax: double>, k string")
+        return layout.cogp_levels(df, "b", [100.0, 10.0, 1.0], "id", kind="k", **more).first().level
+
+    # 250 long: 2 pixels of 100 are enough for a line, a polygon needs 4.
+    assert [level((0, 0, 250, 0), k) for k in ("line", "polygon", "point")] == [0, 1, 0]
+    assert level((5, 5, 5, 5), "polygon") == 0 and level(None, "point") == 2 and level((0, 0, 3, 0), "polygon") == 2
+    # A thousandth of a degree is 111 m wide at the equator, 56 m at 60 degrees.
+    assert [level((0, y, 0.001, y), "polygon", latlong=True, polygon=1.0) for y in (0.0, 60.0)] == [0, 1]
+
+
+def test_points_in_degrees_are_thinned_on_one_plane(spark):
+    def won(gsds):
+        df = spark.range(400).select("id", (F.col("id") % 20 / 1000).alias("x"), (60 + F.floor(F.col("id") / 20) / 1000).alias("y")).withColumn("b", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")))
+        return {r.id: r.level for r in layout.cogp_levels(df, "b", gsds, "id", rank="id", latlong=True).collect()}
+
+    def brute(gsds):
+        level, at = {}, {i: ((i % 20) / 1000, 60 + (i // 20) / 1000) for i in range(400)}
+        flat = {i: (x * 111_320 * np.cos(np.radians(y)), y * 110_540) for i, (x, y) in at.items()}
+        for n, g in enumerate(gsds[:-1]):
+            cell = lambda i: (flat[i][0] // (4 * g), flat[i][1] // (4 * g))  # noqa: B023, E731
+            taken = {cell(i) for i in level}
+            for i in range(400):
+                if i not in level and cell(i) not in taken:
+                    taken.add(cell(i))
+                    level[i] = n
+        return {i: level.get(i, len(gsds) - 1) for i in range(400)}
+
+    for gsds in ([200.0, 100.0, 50.0, 1.0], [200.0, 70.0, 1.0]):
+        assert won(gsds) == brute(gsds)
+
+
+def test_levels_in_a_file(spark, tmp_path, capsys):
+    from terrane import cli
+
+    rows = [("POINT (1 1)", 1), ("POINT (1.000001 1)", 2), ("LINESTRING (0 0, 50 0)", 3), ("POLYGON ((0 0, 0.001 0, 0 0.001, 0 0))", 4), (None, 5)]
+    df = spark.createDataFrame(rows, "w string, id int").select("id", st("st_geomfromtext", F.col("w")).alias("geometry"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    layout.write_geoparquet(df, "geometry", source, crs={"type": "GeographicCRS", "name": "x", "id": {"authority": "EPSG", "code": 4326}}, compression="snappy")
+    assert cli.main(["--input", source, "--output", out, "--cogp", "--files", "1"]) == 0 and "5 rows | 3 row groups" in capsys.readouterr().out
+    (name,) = os.listdir(out)
+    meta = pq.read_metadata(f"{out}/{name}")
+    levels = json.loads(meta.metadata[b"cogp"])["levels"]
+    assert [v["row_group_end"] for v in levels] == [1, 2, 3] and view.cogp_problems(meta.metadata[b"cogp"].decode(), 3) == []
+    first = pq.ParquetFile(f"{out}/{name}").read_row_group(0).column("id").to_pylist()
+    assert 3 in first and len(first) == 2 and "level" not in meta.schema.to_arrow_schema().names
+    layer = geoparquet.open_layer(spark, out)
+    assert layer.crs.epsg == 4326 and layer.covering and sorted(r.id for r in layer.df.collect()) == [1, 2, 3, 4, 5] and layout.scorecard(out)["C8"] == "pass"
+    assert layout.footer(source)[0]["codec"] == "SNAPPY"
+    with pytest.raises(ValueError, match="levels need"):
+        layout.write_geoparquet(df, "geometry", str(tmp_path / "x"), sort=False, gsds=[1.0])
+    layout.write_geoparquet(df, "geometry", str(tmp_path / "bare"), covering=False)
+    assert spark.read.parquet(str(tmp_path / "bare")).columns == ["id", "geometry"] and layout.scorecard(str(tmp_path / "bare"))["C1"] == "fail"
