@@ -61,6 +61,13 @@ def _part(a, pa, b, pb):
     return _cover(b, pb, a, pa)
 
 
+def _gap(a, pa, b, pb):
+    """The distance of points and filled upright rectangles: none where they meet."""
+    dx = np.maximum(0.0, np.maximum(b[:, 0] - a[:, 2], a[:, 0] - b[:, 2]))
+    dy = np.maximum(0.0, np.maximum(b[:, 1] - a[:, 3], a[:, 1] - b[:, 3]))
+    return np.hypot(dx, dy)
+
+
 def _binary(f, kind: str, quick=None):
     """quick: the same on bounds, for columns of points and upright rectangles."""
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -90,7 +97,16 @@ def _edge(i: int):
 
 
 def _point_part(i: int):
-    return _unary(lambda g: float(g[1][i]) if g[0] == "Point" and g[1] is not None else None, "double")
+    def run(g: pd.Series) -> pd.Series:
+        shapes = wkb.simple_shapes(list(g))
+        if shapes and (shapes[1] | np.isnan(shapes[0][:, 0])).all():
+            v = shapes[0][:, i]
+            return pd.Series(v).astype(object).where(~np.isnan(v), None)
+        seen = _Decoded()
+        found = [None if d is None else seen[d] for d in g]
+        return pd.Series([float(x[1][i]) if x and x[0] == "Point" and x[1] is not None else None for x in found], dtype=object)
+
+    return _udf(run, "double")
 
 
 def _st_point(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -185,11 +201,14 @@ FUNCTIONS = {
     "st_intersects": _binary(lambda a, b: bool(k.intersects(a, b)), "boolean", _meet),
     "st_contains": _binary(lambda a, b: bool(k.contains(a, b)), "boolean", _cover),
     "st_within": _binary(lambda a, b: bool(k.contains(b, a)), "boolean", _part),
-    "st_distance": _binary(k.distance, "double"),
+    "st_distance": _binary(k.distance, "double", _gap),
 }
 
 
 def _st_dwithin(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
+    if (x := wkb.simple_shapes(list(a))) and (y := wkb.simple_shapes(list(b))):
+        far = _gap(*x, *y)
+        return pd.Series(far <= _floats(d)).astype(object).where(~(np.isnan(far) | np.isnan(_floats(d))), None)
     seen = _Decoded()
     out = []
     for p, q, v in zip(a, b, _floats(d)):

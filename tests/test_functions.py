@@ -103,3 +103,25 @@ def test_quick_paths_agree_with_the_kernels():
     assert FUNCTIONS["st_intersects"].func(a, b).tolist() == [k.intersects(*p) for p in pairs]
     assert FUNCTIONS["st_contains"].func(a, b).tolist() == [k.contains(*p) for p in pairs]
     assert FUNCTIONS["st_within"].func(a, b).tolist() == [k.contains(q, p) for p, q in pairs]
+
+
+def test_points_and_rectangles_in_arrays_as_one_by_one(spark):
+    """Columns of points and upright rectangles take another way than mixed ones; a line among them forces the other way."""
+    r = random.Random(4)
+
+    def shape():
+        x, y, w, h = (float(r.randint(0, 9)) for _ in range(4))
+        return r.choice([None, f"POINT ({x} {y})", f"POLYGON (({x} {y}, {x + w + 1} {y}, {x + w + 1} {y + h + 1}, {x} {y + h + 1}, {x} {y}))"])
+
+    pairs = [(i, shape(), shape()) for i in range(300)]
+    ask = "id", "st_x(a) as x", "st_y(a) as y", "st_distance(a, b) as d", "st_dwithin(a, b, 3) as n", "st_dwithin(a, b, null) as none"
+    register_all(spark)
+
+    def rows(extra):
+        df = spark.createDataFrame([*pairs, *extra], "id long, s string, t string").coalesce(1)
+        return {x.id: tuple(round(v, 9) if isinstance(v, float) else v for v in x[1:]) for x in df.selectExpr("id", "st_geomfromtext(s) as a", "st_geomfromtext(t) as b").selectExpr(*ask).collect()}
+
+    quick, slow = rows([]), rows([(-1, "LINESTRING (0 0, 1 1)", "LINESTRING (0 0, 1 1)")])
+    assert slow.pop(-1) == (None, None, 0.0, True, None)
+    assert quick == slow
+    assert {v[4] for v in quick.values()} == {None} and any(v[2] == 0 for v in quick.values())
