@@ -44,16 +44,23 @@ def options(argv: list[str]) -> argparse.Namespace:
 
 
 def load(spark, path: str, layer: str | None, geometry: str | None = None):
-    """The rows of an input, its geometry column, its CRS as of geo metadata ("" for lon/lat) and whether coordinates are degrees."""
+    """The rows of an input, its geometry column, its CRS as of geo metadata ("" for lon/lat) and whether coordinates are degrees.
+
+    Layers of GeoPackages and shapefiles come in degrees; where these do not name their CRS, it is written as unknown.
+    """
     from terrane.sources import geoparquet, tabular, vector
 
     kind, named = FORMATS.get(os.path.splitext(path)[1].lower()), geometry or "geometry"
     if kind == "geojson":
         return vector.read_geojson(spark, path), named, "", True
     if kind == "gpkg":
-        return vector.read_geopackage(spark, path, layer), named, "", True
+        names = vector.geopackage_layers(path)
+        pick = layer or (names[0] if names else "")
+        known = vector.geopackage_crs(path, pick)
+        return vector.to_lonlat(vector.read_geopackage(spark, path, layer), named, known), named, "" if known else None, True
     if kind == "shp":
-        return vector.read_shapefile(spark, path), named, "", True
+        known = vector.shapefile_crs(path)
+        return vector.to_lonlat(vector.read_shapefile(spark, path), named, known), named, "" if known else None, True
     if kind == "csv":
         df = tabular.read_delimited(spark, path)
         pair = tabular.coordinate_columns(df.columns)

@@ -229,3 +229,31 @@ def test_levels_in_a_file(spark, tmp_path, capsys):
         layout.write_geoparquet(df, "geometry", str(tmp_path / "x"), sort=False, gsds=[1.0])
     layout.write_geoparquet(df, "geometry", str(tmp_path / "bare"), covering=False)
     assert spark.read.parquet(str(tmp_path / "bare")).columns == ["id", "geometry"] and layout.scorecard(str(tmp_path / "bare"))["C1"] == "fail"
+
+
+def test_crs_of_imports(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "p.gpkg")
+    with sqlite3.connect(path) as db:
+        db.executescript("create table gpkg_contents(table_name, data_type); create table gpkg_geometry_columns(table_name, column_name, srs_id); create table gpkg_spatial_ref_sys(srs_id, organization, organization_coordsys_id);"
+                         "insert into gpkg_contents values ('a', 'features'); insert into gpkg_geometry_columns values ('a', 'g', 7), ('b', 'g', 0), ('c', 'g', 9); insert into gpkg_spatial_ref_sys values (7, 'epsg', 2154), (0, 'NONE', 0), (9, 'ESRI', 1)")
+    assert vector.geopackage_crs(path, "A").epsg == 2154 and vector.geopackage_crs(path, "b") is None and vector.geopackage_crs(path, "d") is None
+    with pytest.raises(crs.UnknownCrs):
+        vector.geopackage_crs(path, "c")
+    assert vector.shapefile_crs(str(tmp_path / "x.shp")) is None
+    france = 'PROJCS["L93",GEOGCS["RGF",DATUM["D",SPHEROID["GRS_1980",6378137.0,298.257222101]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Lambert_Conformal_Conic"],PARAMETER["False_Easting",700000.0],PARAMETER["False_Northing",6600000.0],PARAMETER["Central_Meridian",3.0],PARAMETER["Standard_Parallel_1",44.0],PARAMETER["Standard_Parallel_2",49.0],PARAMETER["Latitude_Of_Origin",46.5],UNIT["Meter",1.0]]'
+    (tmp_path / "X.PRJ").write_text(france)
+    found = vector.shapefile_crs(str(tmp_path / "x.shp"))
+    at = np.array([2.35]), np.array([48.86])
+    assert np.allclose(crs.project(*at, found.proj4), crs.project(*at, crs.lookup(2154).proj4), atol=1e-6) and not found.is_latlong
+    assert crs.from_wkt(france[:-1] + ',AUTHORITY["EPSG","2154"]]').epsg == 2154
+    assert crs.from_wkt('GEOGCS["w",DATUM["D",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]').is_latlong
+    for bad in (france.replace("Lambert_Conformal_Conic", "Krovak"), france.replace('"Meter",1.0', '"Foot_US",0.3048006'), france.replace("GRS_1980", "Moon"), ""):
+        with pytest.raises(crs.UnknownCrs):
+            crs.from_wkt(bad)
+    x, y = crs.project(*at, found.proj4)
+    df = spark.createDataFrame([(bytearray(wkb.encode(("Point", (float(x[0]), float(y[0]))))),), (None,)], "geometry binary")
+    rows = vector.to_lonlat(df, "geometry", found).collect()
+    assert wkb.decode(rows[0][0])[1] == pytest.approx((2.35, 48.86), abs=1e-7) and rows[1][0] is None
+    assert vector.to_lonlat(df, "geometry", None) is df
