@@ -281,12 +281,19 @@ def write_geoparquet(df: DataFrame, geometry: str, path: str, row_group_rows: in
 
         for batch in batches:
             part = pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(batch.columns, target)], schema=target)
-            for g in map(wkb.decode, part.column(at).to_pylist()):
-                b = wkb.bounds(g)
-                if g:
-                    types.add(g[0])
-                if b:
-                    bounds = b if bounds is None else (min(b[0], bounds[0]), min(b[1], bounds[1]), max(b[2], bounds[2]), max(b[3], bounds[3]))
+            shapes = part.column(at).to_pylist()
+            if simple := wkb.simple_shapes(shapes):
+                edges, is_point = simple
+                there = ~np.isnan(edges[:, 0])
+                found = [n for n, some in (("Point", is_point), ("Polygon", there & ~is_point)) if some.any()]
+                edges = edges[there]
+                met = [(*edges[:, :2].min(axis=0).tolist(), *edges[:, 2:].max(axis=0).tolist())] if len(edges) else []
+            else:
+                decoded = [g for g in map(wkb.decode, shapes) if g]
+                found, met = {g[0] for g in decoded}, [b for b in map(wkb.bounds, decoded) if b]
+            types.update(found)
+            for b in met:
+                bounds = b if bounds is None else (min(b[0], bounds[0]), min(b[1], bounds[1]), max(b[2], bounds[2]), max(b[3], bounds[3]))
             rows += part.num_rows
             # Runs of one level; a batch is one run without levels.
             marks = batch.column(len(target)).to_numpy() if gsds else np.zeros(part.num_rows)

@@ -33,7 +33,7 @@ def test_a_written_layer_opens_with_its_covering(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["out"] and len(os.listdir(path)) == 2
     layer = geoparquet.open_layer(spark, path)
     assert layer.covering == ("bbox_2", "xmin", "ymin", "xmax", "ymax") and layer.version == "1.1.0" and layer.crs.is_latlong
-    assert layer.extent() == (0, 0, 99, 9)
+    assert layer.extent() == (0, 0, 99, 9) and layer.column["geometry_types"] == ["Point"]
     found = layer.within((10, 2, 12, 3))
     assert sorted(r.id for r in found.collect()) == [210, 211, 212, 310, 311, 312]
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
@@ -223,6 +223,7 @@ def test_levels_in_a_file(spark, tmp_path, capsys):
     first = pq.ParquetFile(f"{out}/{name}").read_row_group(0).column("id").to_pylist()
     assert 3 in first and len(first) == 2 and "level" not in meta.schema.to_arrow_schema().names
     layer = geoparquet.open_layer(spark, out)
+    assert layer.column["bbox"] == [0, 0, 50, 1] and layer.column["geometry_types"] == ["LineString", "Point", "Polygon"]
     assert layer.crs.epsg == 4326 and layer.covering and sorted(r.id for r in layer.df.collect()) == [1, 2, 3, 4, 5] and layout.scorecard(out)["C8"] == "pass"
     assert layout.footer(source)[0]["codec"] == "SNAPPY"
     with pytest.raises(ValueError, match="levels need"):
