@@ -17,22 +17,31 @@ METRES_PER_DEGREE = (111_320.0, 110_540.0)
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _turns() -> int:
+    """The curve's steps, four bits each, in one signed number: for a state (axes swapped, mirrored) and a quadrant (x bit, y bit), the digit and the next state."""
+    packed = 0
+    for state in range(4):
+        swapped, mirrored = state >> 1, state & 1
+        for quadrant in range(4):
+            bits = (quadrant >> 1, quadrant & 1)
+            rx, ry = (b ^ mirrored for b in (bits[::-1] if swapped else bits))
+            # A quadrant below is turned, one on the right of them mirrored as well.
+            following = state if ry else (swapped ^ 1) << 1 | mirrored ^ rx
+            packed |= (((3 * rx) ^ ry) << 2 | following) << 4 * (4 * state + quadrant)
+    return packed - (1 << 64) if packed >> 63 else packed
+
+
 def hilbert(x: Column, y: Column) -> Column:
     """The place on a Hilbert curve of order 16 of integer columns in 0..65535, as one expression of built-in functions."""
-    state = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-
-    def step(acc: Column, s: Column) -> Column:
-        cx, cy = acc["x"], acc["y"]
-        rx = (cx.bitwiseAND(s) > 0).cast("long")
-        ry = (cy.bitwiseAND(s) > 0).cast("long")
-        d = acc["d"] + s * s * ((F.lit(3) * rx).bitwiseXOR(ry))
-        # A quadrant below is turned, one on the right of them mirrored as well.
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, s - 1 - cx.bitwiseAND(s - 1)).otherwise(cx.bitwiseAND(s - 1)), F.when(flip, s - 1 - cy.bitwiseAND(s - 1)).otherwise(cy.bitwiseAND(s - 1))
-        return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.alias("d"))
-
-    sides = F.array(*[F.lit(1 << i).cast("long") for i in range(ORDER - 1, -1, -1)])
-    return F.aggregate(sides, state, step, lambda acc: acc["d"])
+    turns, x, y = F.lit(_turns()).cast("long"), x.cast("long"), y.cast("long")
+
+    def step(acc: Column, i: Column) -> Column:
+        bit = lambda c: F.call_function("shiftright", c, i).bitwiseAND(F.lit(1))
+        place = (acc.bitwiseAND(F.lit(3)) * 4 + bit(x) * 2 + bit(y)) * 4
+        return (acc.bitwiseAND(F.lit(-4)) * 4).bitwiseOR(F.call_function("shiftrightunsigned", turns, place.cast("int")).bitwiseAND(F.lit(15)))
+
+    # The digits so far above the state's two bits.
+    return F.aggregate(F.array(*[F.lit(i) for i in range(ORDER - 1, -1, -1)]), F.lit(0).cast("long"), step, lambda acc: F.shiftright(acc, 2))
 
 
 def hilbert_of_box(df: DataFrame, box: str) -> DataFrame:
